@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import runs, sampling, splits
+from corpusloom.llm import bpe, packing, runs, sampling, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ QUERIES = {
     "p2_sample": lambda s, d: sampling.sample(_t(s, d, "mls_transcripts"), _t(s, d, "sample_targets")),
     "p3_found": lambda s, d: runs.found(_t(s, d, "mls_aligned"), _t(s, d, "centroids")),
     "p3_runs": lambda s, d: runs.collapse(_t(s, d, "mls_aligned"), _t(s, d, "centroids")),
+    "p5_ids": lambda s, d: bpe.encode(_t(s, d, "documents")),
+    "p6_found": lambda s, d: packing.found(_t(s, d, "documents")),
+    "p6_packing": lambda s, d: packing.pack(_t(s, d, "documents")),
+    "p6_report": lambda s, d: packing.report(_t(s, d, "documents")),
 }
 
 _NUMBER = "try_cast(nullif(regexp_extract(translate({}, '０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९', '0123456789012345678901234567890123456789'), '([0-9]+)', 1), '') AS BIGINT)"

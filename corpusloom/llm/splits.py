@@ -89,7 +89,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def found(transcripts: DataFrame) -> DataFrame:
     """(group_speaker, speaker) of each speaker number that is not the smallest of its group."""
-    links = components(_edges(ties(transcripts)))
+    links = components(_edges(checkpointed(ties(transcripts))))
     return links.select(F.col("least").alias("group_speaker"), F.col("node").alias("speaker"))
 
 
