@@ -34,12 +34,10 @@ def utterances(transcripts: DataFrame) -> DataFrame:
 
 
 def quotas(targets: DataFrame, available: DataFrame) -> DataFrame:
-    """The target rows with ``available``, ``wanted`` and ``taken`` utterances and whether the row is ``short``.
+    """The target rows with ``available``, ``wanted`` and ``taken`` utterances.
 
     ``wanted`` rounds target_share x sample_rows by largest remainders within the plan, so that the
-    wanted numbers add up to the rounded sum, and is at least ``min_rows``. A row is ``short`` where
-    the speaker has fewer utterances than ``min_rows`` or than the unrounded target. Null shares,
-    sizes and minimums count as 0; repeated (plan, speaker) rows are taken once, the largest target.
+    wanted numbers add up to the rounded sum, and is at least ``min_rows``. Null shares, sizes and minimums count as 0; repeated (plan, speaker) rows are taken once, the largest target.
     """
     clean = targets.filter("plan_id is not null and speaker is not null").groupBy("plan_id", "speaker").agg(
         F.max(F.coalesce("target_share", F.lit(0.0)) * F.coalesce("sample_rows", F.lit(0))).alias("target"),
@@ -52,9 +50,8 @@ def quotas(targets: DataFrame, available: DataFrame) -> DataFrame:
     sized = clean.withColumn("wanted", F.greatest(rounded, F.col("min_rows")).cast("bigint"))
     out = sized.join(available, "speaker", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
     return out.select(
-        "plan_id", "speaker", "target", "min_rows", "wanted", "available", F.least("wanted", "available").alias("taken"),
-        ((F.col("available") < F.col("min_rows")) | (F.col("available") < F.col("target"))).alias("short"),
-    )
+        "plan_id", "speaker", "target", "min_rows", "wanted", "available", F.least("wanted", "available").alias("taken")
+    )
 
 
 def _plans(transcripts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,14 +60,23 @@ def _plans(transcripts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
     return single, quotas(targets, available)
 
 
-def found(transcripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(plan_id, speaker) of the target rows that can't be met."""
-    return _plans(transcripts, targets)[1].filter("short").select("plan_id", "speaker")
+def found(transcripts: DataFrame, targets: DataFrame, seed: int = 2) -> DataFrame:
+    """(plan_id, speaker) of the targets that the sample reports as not met."""
+    return report(transcripts, targets, seed).filter("short").select("plan_id", "speaker")
+
 
+def report(transcripts: DataFrame, targets: DataFrame, seed: int = 2) -> DataFrame:
+    """Every target with the utterances drawn into the sample, the ``deficit`` and whether it is ``short``.
 
-def report(transcripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every target with what the sample takes and the deficit."""
-    return _plans(transcripts, targets)[1].select("*", (F.col("wanted") - F.col("taken")).alias("deficit"))
+    A target is short where the sample could not draw the wanted number, or where it drew all
+    utterances of the speaker and they are fewer than the unrounded target.
+    """
+    plans, drawn = _draw(transcripts, targets, seed)
+    counts = drawn.groupBy("plan_id", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    out = plans.join(counts, ["plan_id", "speaker"], "left").withColumn("drawn", F.coalesce("n", F.lit(0)).cast("bigint"))
+    spent = (F.col("drawn") == F.col("available")) & (F.col("drawn") < F.col("target"))
+    deficit = F.col("wanted") - F.col("drawn")
+    return out.select("plan_id", "speaker", "target", "min_rows", "wanted", "available", "drawn", deficit.alias("deficit"), ((deficit > 0) | spent).alias("short"))
 
 
 def sample(transcripts: DataFrame, targets: DataFrame, seed: int = 2) -> DataFrame:
@@ -81,8 +87,14 @@ def sample(transcripts: DataFrame, targets: DataFrame, seed: int = 2) -> DataFra
     many keys. Where a stretch accepts too few, the rest of that speaker's utterances is searched.
     Empty tables give an empty result; columns besides the named ones are ignored.
     """
-    single, plans = _plans(transcripts, targets)
-    plans = checkpointed(plans.filter("taken > 0"))
+    return _draw(transcripts, targets, seed)[1]
+
+
+def _draw(transcripts: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The plans' quotas and the sample."""
+    single, quota = _plans(transcripts, targets)
+    quota = checkpointed(quota)
+    plans = quota.filter("taken > 0")
     slices = F.greatest(F.lit(1), F.floor(F.col("available") / SLICE)).cast("bigint")
     start = unit_hash("plan_id", "speaker", seed=seed + 1)
     accept = F.least(F.lit(1.0), (F.col("taken") + 6 * F.sqrt("taken") + 12) / F.col("available"))
@@ -105,7 +117,7 @@ def sample(transcripts: DataFrame, targets: DataFrame, seed: int = 2) -> DataFra
     chosen = keyed.unionByName(_accepted(placed, missing.withColumn("accept", F.lit(1.0))))
     # ranks are taken in the order of the distance from the plan's start
     ranked = with_rank(chosen, ["plan_id", "speaker"], "way", "buckets", ["ID"])
-    return ranked.filter("rank < taken").select("plan_id", "speaker", "ID", "_row_idx")
+    return quota, ranked.filter("rank < taken").select("plan_id", "speaker", "ID", "_row_idx")
 
 
 def _accepted(placed: DataFrame, plans: DataFrame) -> DataFrame:

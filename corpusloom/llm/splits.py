@@ -87,10 +87,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
 
 
-def found(transcripts: DataFrame) -> DataFrame:
-    """(group_speaker, speaker) of each speaker number that is not the smallest of its group."""
-    links = components(_edges(checkpointed(ties(transcripts))))
-    return links.select(F.col("least").alias("group_speaker"), F.col("node").alias("speaker"))
+def found(transcripts: DataFrame, shares: dict[str, float] = SPLITS, seed: int = 1) -> DataFrame:
+    """(group_speaker, speaker) of each speaker number that is not the smallest of its group in the splits."""
+    _, links, placed = _place(transcripts, shares, seed)
+    keyed = links.withColumn("group_key", F.concat(F.lit("s"), F.col("least").cast("string")))
+    return keyed.join(placed, "group_key").select(F.col("least").alias("group_speaker"), F.col("node").alias("speaker"))
 
 
 def split_related(transcripts: DataFrame, shares: dict[str, float] = SPLITS, seed: int = 1) -> DataFrame:
@@ -101,11 +102,32 @@ def split_related(transcripts: DataFrame, shares: dict[str, float] = SPLITS, see
     in ``speaker_id`` are groups of their own. The result depends only on the rows and ``seed``.
     Empty input gives an empty result. Other columns are ignored.
     """
+    keyed, _, placed = _place(transcripts, shares, seed)
+    by_tie = keyed.filter("group_key is not null").select("a", "b", "book", "group_key").distinct().join(placed, "group_key")
+    salted = by_tie.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    rows = transcripts.select(
+        "_row_idx", id_speaker(F.col("ID")).alias("ra"), first_number(F.col("speaker_id")).alias("rb"), id_book(F.col("ID")).alias("rbook"), F.pmod(F.xxhash64("_row_idx"), F.lit(16)).cast("int").alias("rsalt")
+    )
+    tied_rows = rows.filter("ra is not null or rb is not null or rbook is not null").join(
+        salted, F.expr("ra <=> a and rb <=> b and rbook <=> book and rsalt = salt")
+    )
+    lone_rows = _lone(transcripts).select("_row_idx", "group_key").join(placed, "group_key")
+    return tied_rows.select("_row_idx", "group_key", "split").union(lone_rows.select("_row_idx", "group_key", "split"))
+
+
+def _lone(transcripts: DataFrame) -> DataFrame:
+    """The rows without speaker and book; each is a group."""
+    alone = transcripts.select("_row_idx", "ID", "speaker_id", _label(transcripts).alias("label"))
+    none = id_speaker(F.col("ID")).isNull() & first_number(F.col("speaker_id")).isNull() & id_book(F.col("ID")).isNull()
+    return alone.filter(none).select("_row_idx", F.concat(F.lit("r"), F.col("_row_idx").cast("string")).alias("group_key"), "label")
+
+
+def _place(transcripts: DataFrame, shares: dict[str, float], seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct ties with their group, the speaker links, and (group_key, split) of all groups."""
     tied = checkpointed(ties(transcripts))
     links = components(_edges(tied))
     keyed = checkpointed(_group_keys(tied, links))  # (a, b, book, label, n, group_key): distinct ties only
-    alone = transcripts.select("_row_idx", "ID", "speaker_id", _label(transcripts).alias("label"))
-    lone = _no_key(alone).select(F.concat(F.lit("r"), F.col("_row_idx").cast("string")).alias("group_key"), "label", F.lit(1).cast("bigint").alias("n"))
+    lone = _lone(transcripts).select("group_key", "label", F.lit(1).cast("bigint").alias("n"))
     sized = keyed.filter("group_key is not null").select("group_key", "label", "n").union(lone)
 
     labels = [r["label"] for r in sized.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
@@ -127,22 +149,7 @@ def split_related(transcripts: DataFrame, shares: dict[str, float] = SPLITS, see
     # the bundles are bounded by EXACT_SIZE + 128 per power of two, times the profiles
     placed = with_rank(groups.select("group_key", "bundle", unit_hash("group_key", seed=seed).alias("unit")).join(F.broadcast(plan), "bundle"), ["bundle"], "unit", "buckets", ["group_key"])
     split = F.element_at(F.array(*map(F.lit, shares)), F.size(F.filter("cuts", lambda c: c <= F.col("rank"))) + 1)
-    placed = placed.select("group_key", split.alias("split"))
-
-    by_tie = keyed.filter("group_key is not null").select("a", "b", "book", "group_key").distinct().join(placed, "group_key")
-    salted = by_tie.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = transcripts.select(
-        "_row_idx", id_speaker(F.col("ID")).alias("ra"), first_number(F.col("speaker_id")).alias("rb"), id_book(F.col("ID")).alias("rbook"), F.pmod(F.xxhash64("_row_idx"), F.lit(16)).cast("int").alias("rsalt")
-    )
-    tied_rows = rows.filter("ra is not null or rb is not null or rbook is not null").join(
-        salted, F.expr("ra <=> a and rb <=> b and rbook <=> book and rsalt = salt")
-    )
-    lone_rows = _no_key(alone).select("_row_idx", F.concat(F.lit("r"), F.col("_row_idx").cast("string")).alias("group_key")).join(placed, "group_key")
-    return tied_rows.select("_row_idx", "group_key", "split").union(lone_rows.select("_row_idx", "group_key", "split"))
-
-
-def _no_key(df: DataFrame) -> DataFrame:
-    return df.filter(id_speaker(F.col("ID")).isNull() & first_number(F.col("speaker_id")).isNull() & id_book(F.col("ID")).isNull())
+    return keyed, links, placed.select("group_key", split.alias("split"))
 
 
 def _group_keys(tied: DataFrame, links: DataFrame) -> DataFrame:
