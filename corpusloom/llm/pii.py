@@ -39,7 +39,7 @@ def _mapping() -> dict[int, str]:
 _MAP = _mapping()
 
 # --- words in several languages that the corpus desk meets (fixed values) ---
-TITLES = r"Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Frau|Herrn?|Madame|Mme|Mademoiselle|Mlle|Monsieur|Señora|Señor|Señorita|Sra|Sr|Srta|Doña|Pani|Pana|Panu|Pan|Госпожа|Господин|Госпожи|Господина|Г-жа|Г-н|г-жа|г-н"
+TITLES = r"Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Frau|Herrn?|Madame|Mme|Mademoiselle|Mlle|Monsieur|Señora|Señor|Señorita|Sra|Sr|Srta|Doña|Pani|Pana|Panu|Pan|señora|señor|señorita|doña|madame|monsieur|pani|pana|panu|госпожа|господин|госпожи|господина|Госпожа|Господин|Госпожи|Господина|Г-жа|Г-н|г-жа|г-н"
 NOT_FAMILIES = frozenset("president präsident präsidentin présidente président presidente presidenta commissioner kommissar kommissarin chair speaker przewodniczący przewodnicząca председатель commissaire ministre minister".split())
 INTRODUCTIONS = (
     r"My name is|my name is|I am|I'm|It was|This is|Please remove|Please thank|The parcel goes to|parcel to|[Aa]sk for|Call|Contact|Reader:|Reader|Speaker:|Name:|Narrator:|Signed,?|attention(?: of)?|maintained by|consent of|"
@@ -64,7 +64,8 @@ NEGATIVE = r"isbn|issn|lp|grid|model|chapter|room|row|table|frames?|checksum|sha
 WORD = r"\p{Lu}(?:'\p{Lu})?[\p{L}\p{M}]*\p{L}"
 PARTS = rf"{WORD}(?:-{WORD})*"
 INITIAL = r"\p{Lu}\."
-FULL = rf"(?:{PARTS},\s(?:{PARTS}(?:\s{INITIAL})*|{INITIAL}(?:\s?{INITIAL})*)(?!\w)|{INITIAL}(?:\s?{INITIAL})*\s?{PARTS}|{PARTS}(?:\s{INITIAL})*\s{PARTS})"
+GAP = r"[ \t]"
+FULL = rf"(?:{PARTS},{GAP}(?:{PARTS}(?:{GAP}{INITIAL})*|{INITIAL}(?:{GAP}?{INITIAL})*)(?!\w)|{INITIAL}(?:{GAP}?{INITIAL})*{GAP}?{PARTS}|{PARTS}(?:{GAP}{INITIAL})*{GAP}{PARTS})"
 LOW_FULL = r"[^\W\d_]{2,}(?:\s[^\W\d_])*\s[^\W\d_]{2,}(?:-[^\W\d_]+)?"
 BORDER = r"(?<![\p{L}\p{N}_])"
 
@@ -131,21 +132,22 @@ IDENTITIES = [
     _rule("identity", rf"{_START}(?:[XYZ]-?)?\d(?:\.?\d){{6,7}}-?[A-Z]{_END}", 0.4, (), IDENTITY_WORDS, IDENTITY_AFTER),
     # letters, then digits in up to five groups
     _rule("identity", rf"{_START}[A-Z]{{1,3}}[\s-]?\d{{3,9}}(?:[-\s]\d{{1,6}}){{0,4}}{_END}", 0.2, (), IDENTITY_WORDS, IDENTITY_AFTER),
-    _rule("identity", rf"{_START}\d{{2}}[A-Z]{{2}}\d{{5}}{_END}", 0.3, (), IDENTITY_WORDS, IDENTITY_AFTER),
+    # letters among the digits
+    _rule("identity", rf"{_START}(?=[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d)(?=\d*[A-Z])[A-Z\d]{{7,14}}{_END}", 0.2, (), IDENTITY_WORDS, IDENTITY_AFTER),
     # digits in groups
     _rule("identity", rf"{_START}\d(?:[\s./-]?\d){{7,20}}{_END}", 0.1, (), IDENTITY_WORDS, IDENTITY_AFTER),
     _rule("identity", rf"(?<=\b(?:number\son\sthe\sform\sis|passport\snumber\sis|insurance\snumber\sis|security\snumber\sis|id\snumber\sis|tax\snumber\sis)\s){DIGITS}(?!\p{{L}})", 1.0, (" is ",)),
 ]
 
-_FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Studio)\s\d+\s?[A-Za-z]?\b"
+_FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Studio)\s\d+[A-Za-z]?\b"
 _FLOOR = rf"(?:,\s(?:{_FLAT}|(?:Floor|Level)\s\d+|\d+(?:st|nd|rd|th)\s[Ff]loor|Building\s\w+))*"
 _SIDE = r"(?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little)\s)?"
-_HOUSE = r"\d{1,5}(?:\s?[a-zA-Zа-я](?![\p{L}]))?"
+_HOUSE = r"\d{1,5}[a-zA-Zа-я]?(?!\p{L})"
 ADDRESSES = [
     _rule("address", rf"{BORDER}(?:{_FLAT},\s)?(?<!\d[.,:]?){_HOUSE},?\s{_SIDE}{WORD}(?:\s{WORD})?\s(?:(?:{STREETS})\b|{STREETS_SHORT}){_FLOOR}", 1.0),
     _rule("address", rf"{BORDER}(?:flat\s{NUMBERS}\s)?{NUMBERS}\s(?:(?:north|south|east|west|old|new|upper|lower)\s)?[^\W\d_]{{3,}}\s(?:{LOW_STREETS})\b", 0.9),
     # German: compound street names, or a preposition before a name
-    _rule("address", rf"{BORDER}(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere)\s)?(?:{WORD}\s)?\p{{Lu}}[\p{{L}}-]*(?:(?<=[\p{{L}}\s])[Ss]tra(?:ß|ss)e|[Ss]tr\.|weg|gasse|allee|platz|ring|ufer|damm|steig|stieg)\s{_HOUSE}(?:,\s(?:\d+\.\s(?:OG|UG|Stock|Etage)|EG|DG|HH|Hinterhaus|Whg\.?\s\d+))?", 0.9, ("traße", "trasse", "tr.", "weg ", "gasse ", "allee ", "platz ", "ring ", "ufer ", "damm ", "stieg ", "steig ")),
+    _rule("address", rf"{BORDER}(?:(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere)\s)?\p{{Lu}}[\p{{L}}-]*(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|weg|gasse|allee|platz|ring|ufer|damm|steig|stieg)|(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere)\s)?{WORD}\s(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Allee|Platz|Ring|Ufer|Damm))\s{_HOUSE}(?:,\s(?:\d+\.\s(?:OG|UG|Stock|Etage)|EG|DG|HH|Hinterhaus|Whg\.?\s\d+))?", 0.9, ("traße", "trasse", "tr.", "weg ", "gasse ", "allee ", "platz ", "ring ", "ufer ", "damm ", "stieg ", "steig ", " Weg ", " Gasse ", " Allee ", " Platz ", " Ring ", " Ufer ", " Damm ")),
     _rule("address", rf"{BORDER}(?:Am|An der|Im|Zum|Zur|Auf der|Auf dem|Unter den|In der)\s\p{{Lu}}[\p{{L}}-]+\s{_HOUSE}(?:,\s\d+\.\s(?:OG|UG|Stock|Etage))?(?=[,\n]|\s*$)", 0.8, ("Am ", "An ", "Im ", "Zum ", "Zur ", "Auf ", "Unter ", "In ")),
     # French
     _rule("address", rf"{BORDER}{_HOUSE}(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|av\.|bd\.?|boulevard|allée|place|chemin|impasse|quai|cours|route|square|passage|ruelle|sentier)\s(?:de\sla\s|de\sl'|du\s|des\s|de\s|d'|la\s|le\s)?{PARTS}(?:\s{PARTS})?(?:,\s(?:bât\.?|bâtiment|appt?\.?|apt\.?|appartement|esc\.?|escalier|étage)\s\w+|,\s\d+(?:er|e|ème)\sétage)*", 1.0, ("rue ", "avenue ", "av. ", "bd ", "bd. ", "boulevard ", "allée ", "place ", "chemin ", "impasse ", "quai ", "cours ", "route ", "square ", "passage ", "ruelle ", "sentier ")),
@@ -159,7 +161,9 @@ ADDRESSES = [
 ]
 
 NAMES = [
-    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K(?:{FULL}|{PARTS})", 0.7),
+    # after a title the family name alone; more only where its first part is a known given name
+    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{PARTS}", 0.7),
+    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.4),
     _rule("name", rf"{BORDER}(?:{INTRODUCTIONS})\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.8),
     _rule("name", rf"{BORDER}(?:{CLOSINGS})\s+(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.9),
     _rule("name", rf"\"(?:reader|name|speaker|author|narrator|contact|proof_listener|coordinator)\":\s?\"\K{FULL}(?=\")", 1.0, ('": "', '":"')),
@@ -268,8 +272,10 @@ class Finder:
                 return 0.0
             if _BUSINESS.match(tail):
                 return 0.0
-            known = sum(p in self.given or p in self.family for w in words for p in w.split("-"))
-            score += 0.3 * min(known, 2)
+            known = [p for w in words for p in w.split("-") if p in self.given or p in self.family]
+            score += 0.3 * min(len(known), 2)
+            if len(words) > 1 and (words[0] in self.given or len(words[0]) == 1):
+                score += 0.4
         return score
 
     def _registered(self, text: str) -> list[tuple[float, int, int, str]]:
