@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, packing, runs, sampling, splits
+from corpusloom.llm import bpe, lookalikes, packing, pii, runs, sampling, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {name: _t(spark, d, name) for name in lookalikes.FIELDS}
+
+
 QUERIES = {
     "p1_found": lambda s, d: splits.found(_t(s, d, "mls_transcripts")),
     "p1_splits": lambda s, d: splits.split_related(_t(s, d, "mls_transcripts")),
@@ -20,10 +24,14 @@ QUERIES = {
     "p2_sample": lambda s, d: sampling.sample(_t(s, d, "mls_transcripts"), _t(s, d, "sample_targets")),
     "p3_found": lambda s, d: runs.found(_t(s, d, "mls_aligned"), _t(s, d, "centroids")),
     "p3_runs": lambda s, d: runs.collapse(_t(s, d, "mls_aligned"), _t(s, d, "centroids")),
+    "p4_found": lambda s, d: lookalikes.found(_texts(s, d)),
+    "p4_consistent": lambda s, d: lookalikes.consistent(_texts(s, d)),
     "p5_ids": lambda s, d: bpe.encode(_t(s, d, "documents")),
     "p6_found": lambda s, d: packing.found(_t(s, d, "documents")),
     "p6_packing": lambda s, d: packing.pack(_t(s, d, "documents")),
     "p6_report": lambda s, d: packing.report(_t(s, d, "documents")),
+    "p7_found": lambda s, d: pii.found(_t(s, d, "documents"), _t(s, d, "readers")),
+    "p7_redacted": lambda s, d: pii.redact(_t(s, d, "documents"), _t(s, d, "readers")),
 }
 
 _NUMBER = "try_cast(nullif(regexp_extract(translate({}, '０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९', '0123456789012345678901234567890123456789'), '([0-9]+)', 1), '') AS BIGINT)"
