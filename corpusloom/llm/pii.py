@@ -11,7 +11,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,7 +38,15 @@ def _mapping() -> dict[int, str]:
     return out | dict.fromkeys((0x2018, 0x2019), "'")
 
 
-_MAP = _mapping()
+_MAP = {chr(c): to for c, to in _mapping().items()}
+
+
+def flattened(text: str) -> str:
+    """``text`` with the replacements, character for character."""
+    if not text.isascii():
+        for c in _MAP.keys() & set(text):
+            text = text.replace(c, _MAP[c])
+    return text
 
 # --- words in several languages that the corpus desk meets (fixed values) ---
 TITLES = r"Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Frau|Herrn?|Madame|Mme|Mademoiselle|Mlle|Monsieur|Señora|Señor|Señorita|Sra|Sr|Srta|Doña|Pani|Pana|Panu|Pan|señora|señor|señorita|doña|madame|monsieur|pani|pana|panu|госпожа|господин|госпожи|господина|Госпожа|Господин|Госпожи|Господина|Г-жа|Г-н|г-жа|г-н"
@@ -46,6 +56,9 @@ INTRODUCTIONS = (
     r"[Rr]ead by|Dear|Ich heiße|Mein Name ist|Ich bin|Je m'appelle|je m'appelle|Je suis|Mon nom est|Me llamo|me llamo|Mi nombre es|Soy|Nazywam się|Mam na imię|Jestem|Меня зовут|меня зовут|Моё имя"
 )
 CLOSINGS = r"(?:Kind|Best|Warm) regards,?|Yours(?: sincerely| faithfully| truly)?,?|Sincerely,?|Best wishes,?|С уважением,?|Mit freundlichen Grüßen,?|Viele Grüße,?|Cordialement,?|Bien à vous,?|Z poważaniem,?|Pozdrawiam,?|Un saludo,?|Saludos,?|Atentamente,?"
+#: Stems of which one is in any text that the two patterns above match.
+INTRODUCED = ("y name is", "I am", "I'm", "It was", "This is", "Please ", "arcel", "sk for", "Call", "ontact", "Reader", "Speaker", "Name:", "Narrator", "Signed", "attention", "maintained by", "consent of", "ead by", "Dear", "Ich ", "Mein Name", "e m'appelle", "Je suis", "Mon nom", "e llamo", "Mi nombre", "Soy", "Nazywam", "Mam na", "Jestem", "еня зовут", "Моё имя")
+CLOSED = ("egards", "Yours", "Sincerely", "Best wishes", "С уважением", "Grüße", "Cordialement", "Bien à vous", "poważaniem", "Pozdrawiam", "aludo", "Atentamente")
 STREETS = r"Street|Road|Lane|Avenue|Drive|Court|Close|Mews|Row|Terrace|Way|Place|Square|Crescent|Gardens|Grove|Boulevard|Alley|Walk|Hill|Parade"
 STREETS_SHORT = r"(?:St|Rd|Ln|Ave|Dr|Ct|Pl|Sq|Blvd|Cres|Terr)\b\.?"
 LOW_STREETS = STREETS.lower()
@@ -58,6 +71,8 @@ IDENTITY_WORDS = (
     r"ssn|social security|national insurance|insurance number|passport|id card|identity card|tax reference|tax id|tax number|driving licence|licence no|ausweis\w*|personalausweis\w*|reisepass\w*|steuer-?id\w*|steuernummer|"
     r"sozialversicherung\w*|sécurité sociale|carte d'identité|passeport|numéro fiscal|dni|nie|nif|pasaporte|seguridad social|pesel|nip|dowód|dowodu|paszport\w*|паспорт\w*|снилс|инн|id_card|passport_no|release form gives|number on the form|id number|form is"
 )
+#: Stems of which one is in any text that the words before or after an identity number match.
+NUMBERED = ("ssn", "social security", "insurance", "passport", "id card", "identity card", "tax ", "driving licence", "licence no", "ausweis", "reisepass", "steuer", "sozialversicherung", "sécurité sociale", "carte d'identité", "passeport", "numéro fiscal", "dni", "nie", "nif", "pasaporte", "seguridad social", "pesel", "nip", "dowód", "dowodu", "paszport", "паспорт", "снилс", "инн", "id_card", "release", "number on the form", "id number", "form is", "formular", "number is", "is my ")
 IDENTITY_AFTER = r"\s(?:was on the release|as the id card|as the passport|steht auf dem formular|is my (?:passport|id|insurance))"
 NEGATIVE = r"isbn|issn|lp|grid|model|chapter|room|row|table|frames?|checksum|sha|utterance|utt|units|rows|size|batch|inertia|part|version|reels?|shard|doi|samples|duration|begin_time|end_time|num_samples|sample_rate|aid"
 
@@ -70,21 +85,36 @@ LOW_FULL = r"[^\W\d_]{2,}(?:\s[^\W\d_])*\s[^\W\d_]{2,}(?:-[^\W\d_]+)?"
 BORDER = r"(?<![\p{L}\p{N}_])"
 
 
-@dataclass(frozen=True)
+def _words(pattern: str, *tails: str) -> tuple[str, ...]:
+    """The plain alternatives of a pattern, each with every tail."""
+    return tuple(w + t for w in pattern.split("|") for t in (tails or ("",)))
+
+
+@dataclass
 class Rule:
     kind: str
     pattern: regex.Pattern
     base: float
+    #: Whether the pattern needs digits.
+    digits: bool
     #: Any of these has to be in the text for the rule to be tried.
     needs: tuple[str, ...] = ()
     #: Raises the score where found before (or after) the span.
     before: regex.Pattern | None = None
     after: regex.Pattern | None = None
 
+    @cached_property
+    def long(self) -> frozenset[str]:
+        return frozenset(n for n in self.needs if len(n) > 2)
+
+    @cached_property
+    def short(self) -> tuple[str, ...]:
+        return tuple(n for n in self.needs if len(n) <= 2)
+
 
 def _rule(kind: str, pattern: str, base: float, needs: tuple[str, ...] = (), before: str = "", after: str = "", flags: int = 0) -> Rule:
     near = lambda p, end: regex.compile(rf"{BORDER}(?:{p})(?!\p{{L}}){end}", regex.I) if p else None
-    return Rule(kind, regex.compile(pattern, flags), base, needs, near(before, ""), regex.compile(after, regex.I) if after else None)
+    return Rule(kind, regex.compile(pattern, flags), base, kind in ("phone", "identity", "address") and DIGITS not in pattern and NUMBERS not in pattern, needs, near(before, ""), regex.compile(after, regex.I) if after else None)
 
 
 _LOCAL = r"(?:\"[^\"\s@]{1,64}\"|[\p{L}\d](?:[\p{L}\d._%+'-]*[\p{L}\d_+-])?(?:\s?[\(\[]dot[\)\]]\s?[\p{L}\d._%+-]+)*)"
@@ -144,8 +174,8 @@ _FLOOR = rf"(?:,\s(?:{_FLAT}|(?:Floor|Level)\s\d+|\d+(?:st|nd|rd|th)\s[Ff]loor|B
 _SIDE = r"(?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little)\s)?"
 _HOUSE = r"\d{1,5}[a-zA-Zа-я]?(?!\p{L})"
 ADDRESSES = [
-    _rule("address", rf"{BORDER}(?:{_FLAT},\s)?(?<!\d[.,:]?){_HOUSE},?\s{_SIDE}{WORD}(?:\s{WORD})?\s(?:(?:{STREETS})\b|{STREETS_SHORT}){_FLOOR}", 1.0),
-    _rule("address", rf"{BORDER}(?:flat\s{NUMBERS}\s)?{NUMBERS}\s(?:(?:north|south|east|west|old|new|upper|lower)\s)?[^\W\d_]{{3,}}\s(?:{LOW_STREETS})\b", 0.9),
+    _rule("address", rf"{BORDER}(?:{_FLAT},\s)?(?<!\d[.,:]?){_HOUSE},?\s{_SIDE}{WORD}(?:\s{WORD})?\s(?:(?:{STREETS})\b|{STREETS_SHORT}){_FLOOR}", 1.0, _words(STREETS) + _words("St|Rd|Ln|Ave|Dr|Ct|Pl|Sq|Blvd|Cres|Terr")),
+    _rule("address", rf"{BORDER}(?:flat\s{NUMBERS}\s)?{NUMBERS}\s(?:(?:north|south|east|west|old|new|upper|lower)\s)?[^\W\d_]{{3,}}\s(?:{LOW_STREETS})\b", 0.9, tuple(" " + w for w in LOW_STREETS.split("|"))),
     # German: compound street names, or a preposition before a name
     _rule("address", rf"{BORDER}(?:(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere)\s)?\p{{Lu}}[\p{{L}}-]*(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|weg|gasse|allee|platz|ring|ufer|damm|steig|stieg)|(?:(?:Alter?|Neuer?|Große|Kleine|Obere|Untere)\s)?{WORD}\s(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Allee|Platz|Ring|Ufer|Damm))\s{_HOUSE}(?:,\s(?:\d+\.\s(?:OG|UG|Stock|Etage)|EG|DG|HH|Hinterhaus|Whg\.?\s\d+))?", 0.9, ("traße", "trasse", "tr.", "weg ", "gasse ", "allee ", "platz ", "ring ", "ufer ", "damm ", "stieg ", "steig ", " Weg ", " Gasse ", " Allee ", " Platz ", " Ring ", " Ufer ", " Damm ")),
     _rule("address", rf"{BORDER}(?:Am|An der|Im|Zum|Zur|Auf der|Auf dem|Unter den|In der)\s\p{{Lu}}[\p{{L}}-]+\s{_HOUSE}(?:,\s\d+\.\s(?:OG|UG|Stock|Etage))?(?=[,\n]|\s*$)", 0.8, ("Am ", "An ", "Im ", "Zum ", "Zur ", "Auf ", "Unter ", "In ")),
@@ -162,13 +192,13 @@ ADDRESSES = [
 
 NAMES = [
     # after a title the family name alone; more only where its first part is a known given name
-    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{PARTS}", 0.7),
-    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.4),
-    _rule("name", rf"{BORDER}(?:{INTRODUCTIONS})\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.8),
-    _rule("name", rf"{BORDER}(?:{CLOSINGS})\s+(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.9),
+    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{PARTS}", 0.7, _words(TITLES, " ", ". ")),
+    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.4, _words(TITLES, " ", ". ")),
+    _rule("name", rf"{BORDER}(?:{INTRODUCTIONS})\s(?:(?:{TITLES})\.?\s)?\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.8, INTRODUCED),
+    _rule("name", rf"{BORDER}(?:{CLOSINGS})\s+(?:(?:{TITLES})\.?\s)?\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.9, CLOSED),
     _rule("name", rf"\"(?:reader|name|speaker|author|narrator|contact|proof_listener|coordinator)\":\s?\"\K{FULL}(?=\")", 1.0, ('": "', '":"')),
     _rule("name", rf"(?m)^[^\S\n]*\K{FULL}(?=[^\S\n]*$)", 0.3),
-    _rule("name", rf"{BORDER}{FULL}(?=\s(?:<|\(\+?\d|\|\s(?:mail|phone)))", 0.2),
+    _rule("name", rf"{BORDER}{FULL}(?=\s(?:<|\(\+?\d|\|\s(?:mail|phone)))", 0.2, (" <", " (", " | ")),
     # transcripts without capitals
     _rule("name", rf"{BORDER}(?:my\sname\sis|this\sis|i\sam|i'm)\s\K{LOW_FULL}(?=\s(?:and\si'm|and\si\b|speaking|calling))", 0.9, (" and i", " speaking", " calling")),
     _rule("name", rf"{BORDER}(?:read\sby)\s\K{LOW_FULL}(?=\sfor\sthe)", 0.9, ("read by ",)),
@@ -176,6 +206,19 @@ NAMES = [
     _rule("name", rf"{BORDER}{LOW_FULL}(?=\shere\shello)", 0.9, (" here hello",)),
 ]
 
+_DIGITS = regex.compile(r"\d")
+
+
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, w)
+    out.make_automaton()
+    return out
+
+
+_STEMS = _automaton(sorted({n for rules in (EMAILS, PHONES, IDENTITIES, ADDRESSES, NAMES) for r in rules for n in r.long}))
+_IDENTITY_STEMS = _automaton(list(NUMBERED))
 _CLOSE_NEGATIVE = regex.compile(rf"{BORDER}(?:{NEGATIVE})(?:\s(?:of|no\.?|number))?[\s:#_\"]{{1,4}}[\w\s.-]{{0,4}}$", regex.I)
 _TOKEN = regex.compile(rf"{BORDER}{WORD}(?:-{WORD})*")
 _BUSINESS = regex.compile(r"\s(?:Press|Archive|Library|Lane|Street|Road|Avenue|Publishing|House|University|Museum)\b")
@@ -238,11 +281,20 @@ class Finder:
         """(first, end, kind), in order, without overlaps."""
         if not text:
             return []
-        flat = text.translate(_MAP)
+        flat = flattened(text)
+        there = {k for _, k in _STEMS.iter(flat)}
         found: list[tuple[float, int, int, str]] = []
+        digits = _DIGITS.search(flat) is not None
+        # a number alone is no identity number: without one of the words no rule reaches the threshold
+        lower = flat.lower()
+        identity = any(True for _ in _IDENTITY_STEMS.iter(lower))
         for rules in (EMAILS, PHONES, IDENTITIES, ADDRESSES, NAMES):
+            if rules is IDENTITIES and not identity:
+                continue
             for rule in rules:
-                if rule.needs and not any(n in flat for n in rule.needs):
+                if rule.digits and not digits:
+                    continue
+                if rule.needs and there.isdisjoint(rule.long) and not any(n in flat for n in rule.short):
                     continue
                 for m in rule.pattern.finditer(flat):
                     a, b = m.span()
