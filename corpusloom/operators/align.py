@@ -18,10 +18,9 @@ def merge_repeats(path: Column) -> Column:
     """Runs of equal labels of an array as (label, start, end) with inclusive ends, within the row."""
     n = F.size(path)
     begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.get(path, i).eqNullSafe(F.get(path, i - 1)))
-    runs = F.transform(
-        F.transform(begins, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(begins, i + 1), n).alias("u"))),
-        lambda r: F.struct(F.get(path, r["s"]).cast("string").alias("label"), r["s"].alias("start"), (r["u"] - 1).alias("end")),
-    )
+    # both lists stand outside the lambda, so each is computed once
+    untils = F.concat(F.slice(begins, 2, n), F.array(n))
+    runs = F.zip_with(begins, untils, lambda s, u: F.struct(F.get(path, s).cast("string").alias("label"), s.alias("start"), (u - 1).alias("end")))
     return F.when(n > 0, runs).when(n == 0, F.array().cast(f"array<{SEGMENT}>"))
 
 

@@ -21,11 +21,15 @@ def with_rank(df: DataFrame, keys: list[str], unit: str, buckets: str, ties: lis
         sliced.filter(F.col(buckets) > 1)
         .groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     )
+    # null keys are groups like others
+    same = F.col("_slice") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return (
         sliced.withColumn("_rn", F.row_number().over(within) - 1)
-        .join(shift, [*keys, "_slice"], "left")
+        .join(shift, same, "left")
         .withColumn(rank, F.col("_rn") + F.coalesce("_shift", F.lit(0)))
-        .drop("_rn", "_shift", "_slice")
+        .drop("_rn", "_shift", "_slice", "_s", *[f"_k{i}" for i in range(len(keys))])
     )
