@@ -42,7 +42,8 @@ def with_token_spans(df: DataFrame, tokens: str, segments: str) -> DataFrame:
     before. A blank before or after is shared with the neighbour token at its middle (rounded
     down), the outer blanks go to the first and last token whole. A span is (start, end) in frames.
     Rows whose letters and segments don't match, or whose first token is empty, get an ``error``
-    and null spans.
+    and null spans. Explode the spans with ``posexplode_outer``: for a plain ``posexplode`` the
+    optimizer derives a filter on their number and evaluates the steps below again for each element.
     """
     token, segment = F.col(tokens), F.col(segments)
     spelled = F.transform(token, lambda t: F.filter(F.split(t, " "), lambda c: c != ""))

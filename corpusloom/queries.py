@@ -566,8 +566,8 @@ SELECT _row_idx, {} AS label, min(i) AS "start", max(i) AS "end" FROM g GROUP BY
 
 @query(_RUNS.format("any_value(u)::VARCHAR"))
 def merge_repeats(s, d):
-    runs = aligned(s, d).select(ROW, F.explode(align.merge_repeats(F.col("speech_tokens"))).alias("r"))
-    return runs.select(ROW, F.col("r.label").alias("label"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    runs = aligned(s, d).select(ROW, F.explode_outer(align.merge_repeats(F.col("speech_tokens"))).alias("r"))
+    return runs.filter("r is not null").select(ROW, F.col("r.label").alias("label"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
 @query(_RUNS.format("any_value(u)"))
@@ -607,15 +607,15 @@ def _with_path(s, d):
 @query(_SPANS)
 def token_spans(s, d):
     spans = align.with_token_spans(_with_path(s, d), "uroman", "segments")
-    each = spans.select(ROW, F.posexplode("spans").alias("position", "p"))
-    return each.select(ROW, "position", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+    each = spans.select(ROW, F.posexplode_outer("spans").alias("position", "p"))
+    return each.filter("p is not null").select(ROW, "position", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
 
 @query(f"SELECT _row_idx, position, \"start\" * 20.0 / 1000 AS start_s, \"end\" * 20.0 / 1000 AS end_s FROM ({_SPANS})".replace("* 20.0 / 1000", "* 20.0::DOUBLE / 1000"))
 def span_times(s, d):
     spans = align.with_token_spans(_with_path(s, d), "uroman", "segments").withColumn("times", align.span_times(F.col("spans"), F.lit(20.0)))
-    each = spans.select(ROW, F.posexplode("times").alias("position", "t"))
-    return each.select(ROW, "position", F.col("t.start_s").alias("start_s"), F.col("t.end_s").alias("end_s"))
+    each = spans.select(ROW, F.posexplode_outer("times").alias("position", "t"))
+    return each.filter("t is not null").select(ROW, "position", F.col("t.start_s").alias("start_s"), F.col("t.end_s").alias("end_s"))
 
 
 @query("SELECT _row_idx, error, count(*) AS n FROM (SELECT _row_idx % 10 AS _row_idx, CASE WHEN coalesce(len(uroman), 0) = 0 THEN 'no tokens' WHEN uroman[1] = '' THEN 'first token is empty' END AS error FROM mls_aligned) GROUP BY ALL")

@@ -71,7 +71,7 @@ def label_lines(labels: DataFrame, key: str, frame: str, cluster: str) -> DataFr
 def segment_manifest(df: DataFrame, spans: str, text: str, normalized: str, uroman: str, folder: str) -> DataFrame:
     """One row for each span: start, file, duration and the tokens it covers."""
     zipped = F.arrays_zip(F.col(spans).alias("s"), F.col(text).alias("t"), F.col(normalized).alias("n"), F.col(uroman).alias("u"))
-    each = df.select(ROW, F.posexplode(zipped).alias("i", "z"))
+    each = df.select(ROW, F.posexplode_outer(zipped).alias("i", "z")).filter("z is not null")
     file = F.concat(F.lit(folder.rstrip("/") + "/"), F.col(ROW).cast("string"), F.lit("/segment"), F.col("i").cast("string"), F.lit(".flac"))
     return each.select(
         ROW, F.col("i").alias("segment"), F.col("z.s.start_s").alias("audio_start_sec"), file.alias("audio_filepath"), (F.col("z.s.end_s") - F.col("z.s.start_s")).alias("duration"),
