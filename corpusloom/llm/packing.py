@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import FOLDER, VOCABULARY, count_tokens
-from corpusloom.llm.shared import unit_hash, with_rank
+from corpusloom.llm.shared import unit_hash
+from corpusloom.operators.ranking import with_rank
 from corpusloom.session import checkpointed
 
 #: Tokens of a training sequence.

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import first_number, id_speaker, unit_hash, with_rank
+from corpusloom.llm.shared import first_number, id_speaker, unit_hash
+from corpusloom.operators.ranking import with_rank
 from corpusloom.session import checkpointed
 
 #: Utterances of one speaker that share a slice of hash space on average.

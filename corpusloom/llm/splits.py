@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import first_number, id_book, id_speaker, unit_hash, with_rank
+from corpusloom.llm.shared import first_number, id_book, id_speaker, unit_hash
+from corpusloom.operators.ranking import with_rank
 from corpusloom.session import checkpointed
 
 #: Names and shares of the splits.
