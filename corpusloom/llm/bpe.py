@@ -129,47 +129,44 @@ class Encoder:
 
     def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of ``words``; the short ones become known."""
+        if not words:
+            return {}
         cut = {w: self._pieces(w.encode()) for w in words}
         done = self._encode_pieces(list(dict.fromkeys(chain.from_iterable(cut.values()))))
         new = {w: tuple(chain.from_iterable(done[p] for p in pieces)) for w, pieces in cut.items()}
         if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
+            self.known = {}  # a batch at work goes on with the old table
         self.known.update((w, x) for w, x in new.items() if len(w) <= KNOWN_CHARS)
         return new
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[array]:
         """The ids of each text; none for an empty or null one."""
-        known, parts = self.known, []
+        parts: list[list[str]] = []
         for text in texts:
             if text and len(text) > 1_000_000:
                 yield from self._short(parts)
                 parts = []
                 ids, words = array("i"), self.word.finditer(text)
                 while some := [m[0] for m in islice(words, 100_000)]:
-                    extra = self.learn({w for w in some if w not in known})
-                    known = self.known
-                    for w in some:
-                        ids.extend(extra[w] if w in extra else self._get(w))
+                    ids.extend(chain.from_iterable(self._looked_up(some)))
                 yield ids
             else:
                 parts.append(self.word.findall(text) if text else [])
         yield from self._short(parts)
 
-    def _get(self, word: str) -> tuple[int, ...]:
-        """A word that was known may have been dropped in between."""
-        return self.known[word] if word in self.known else self.learn({word})[word]
+    def _looked_up(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        known = self.known
+        extra = self.learn({w for w in words if w not in known})
+        return (known[w] if w in known else extra[w] for w in words)
 
     def _short(self, texts: list[list[str]]) -> Iterator[array]:
         known = self.known
-        extra = {w for words in texts for w in words if w not in known}
-        if extra:
-            extra = self.learn(extra)
-        known, get = self.known, self._get
+        extra = self.learn({w for words in texts for w in words if w not in known})
         for words in texts:
             ids = array("i")
             for w in words:
                 found = known.get(w)
-                ids.extend(found if found is not None else extra[w] if w in extra else get(w))
+                ids.extend(extra[w] if found is None else found)
             yield ids
 
 

@@ -194,8 +194,8 @@ NAMES = [
     # after a title the family name alone; more only where its first part is a known given name
     _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{PARTS}", 0.7, _words(TITLES, " ", ". ")),
     _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.4, _words(TITLES, " ", ". ")),
-    _rule("name", rf"{BORDER}(?:{INTRODUCTIONS})\s(?:(?:{TITLES})\.?\s)?\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.8, INTRODUCED),
-    _rule("name", rf"{BORDER}(?:{CLOSINGS})\s+(?:(?:{TITLES})\.?\s)?\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.9, CLOSED),
+    _rule("name", rf"{BORDER}(?:{INTRODUCTIONS})\s\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.8, INTRODUCED),
+    _rule("name", rf"{BORDER}(?:{CLOSINGS})\s+\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.9, CLOSED),
     _rule("name", rf"\"(?:reader|name|speaker|author|narrator|contact|proof_listener|coordinator)\":\s?\"\K{FULL}(?=\")", 1.0, ('": "', '":"')),
     _rule("name", rf"(?m)^[^\S\n]*\K{FULL}(?=[^\S\n]*$)", 0.3),
     _rule("name", rf"{BORDER}{FULL}(?=\s(?:<|\(\+?\d|\|\s(?:mail|phone)))", 0.2, (" <", " (", " | ")),
@@ -256,7 +256,8 @@ def iso_mod_11_10(digits: str) -> bool:
 
 def dni(value: str) -> bool:
     """The letter of Spanish numbers."""
-    digits, letter = "".join(c for c in value.replace("X", "0").replace("Y", "1").replace("Z", "2") if c.isdigit()), value[-1:]
+    first = {"X": "0", "Y": "1", "Z": "2"}.get(value[:1], value[:1])
+    digits, letter = "".join(c for c in first + value[1:-1] if c.isdigit()), value[-1:]
     return letter.isalpha() and len(digits) == 8 and "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == letter
 
 
