@@ -707,7 +707,7 @@ def span_boundaries(s, d):
 
 
 _MEANS = "SELECT label AS cluster, list(m ORDER BY i) AS vec FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IS NOT NULL) GROUP BY label, i) GROUP BY label"
-_ASSIGN = f"SELECT vec_id, arg_min(cluster, dist) AS cluster, min(dist) AS d FROM (SELECT vec_id, cluster, round(list_sum(list_transform(list_zip(embedding, vec), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))), 9) AS dist FROM embeddings, ({_MEANS}) c) GROUP BY vec_id"
+_ASSIGN = f"SELECT vec_id, arg_min(cluster, dist) AS cluster, min(dist) AS d FROM (SELECT vec_id, cluster, list_sum(list_transform(list_zip(embedding, vec), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))) AS dist FROM embeddings, ({_MEANS}) c) GROUP BY vec_id"
 
 
 def _means(s, d):
