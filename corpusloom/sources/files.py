@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.constants import ROW
 
@@ -18,7 +19,7 @@ def with_row_index(lines: DataFrame, key: list[str] | None = None) -> DataFrame:
         lines = lines.repartitionByRange(*key).sortWithinPartitions(*key)
     schema = lines.schema
     numbered = lines.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return lines.sparkSession.createDataFrame(numbered, schema.add(ROW, "bigint"))
+    return lines.sparkSession.createDataFrame(numbered, T.StructType([*schema.fields, T.StructField(ROW, T.LongType())]))
 
 
 def read_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
