@@ -39,10 +39,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, numbered: bool = Fal
 def count_lines(spark: SparkSession, path: str) -> int:
     """Lines of the text files; an empty file, or one whose last line isn't ended, raises."""
     # only the files' last bytes are looked at; content of a whole file is not kept
-    bad = spark.read.format("binaryFile").load(path).filter("length = 0 or substring(content, -1, 1) <> unhex('0A')").select("path").limit(1).collect()
+    bad = spark.read.format("binaryFile").load(path).filter("substring(content, -1, 1) <> unhex('0A')").select("path").limit(1).collect()
     if bad:
-        raise ValueError(f"empty, or without an end of line: {bad[0]['path']}")
-    return spark.read.text(path).count()
+        raise ValueError(f"without an end of line: {bad[0]['path']}")
+    n = spark.read.text(path).count()
+    if not n:
+        raise ValueError(f"empty: {path}")
+    return n
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
