@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine; clusters bring their own."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("corpusloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +24,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """``spark``, whose Python workers can import this package: its modules are sent with the job, once.
+
+    Executors need not have the package installed; Spark's file server hands the archive out.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_corpusloom_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="corpusloom-package-")) / "corpusloom.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for module in sorted(package.rglob("*.py")):
+                z.write(module, module.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._corpusloom_shipped = True
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint.
 
