@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.constants import BLANK
@@ -24,14 +24,28 @@ def merge_repeats(path: Column) -> Column:
     return F.when(n > 0, runs).when(n == 0, F.array().cast(f"array<{SEGMENT}>"))
 
 
-def merge_repeats_long(frames: DataFrame, key: str, position: str, label: str) -> DataFrame:
-    """The same for a frame table (key, position, label): gaps and islands, one row for each run."""
-    from pyspark.sql import Window
+def merge_repeats_long(frames: DataFrame, key: str, position: str, label: str, slice_rows: int = 100_000) -> DataFrame:
+    """The same for a frame table (key, position, label): one row (key, label, start, end) for each run.
 
-    order = Window.partitionBy(key).orderBy(position)
-    marked = frames.withColumn("_new", (~F.col(label).eqNullSafe(F.lag(label).over(order)) | (F.row_number().over(order) == 1)).cast("int"))
-    grouped = marked.withColumn("_run", F.sum("_new").over(order))
-    return grouped.groupBy(key, "_run").agg(F.first(label).alias(label), F.min(position).alias("start"), F.max(position).alias("end")).drop("_run")
+    A key's frames are compared in slices of positions, and a small table with one row for each
+    slice carries the last label, the last position and the next start over the slices' edges; so a
+    key of any size spreads over tasks. Positions are whole numbers and need not be dense.
+    """
+    f = frames.select(F.col(key).alias("k"), F.col(position).alias("p"), F.col(label).alias("l"), F.floor(F.col(position) / slice_rows).alias("s"))
+    inside, along = Window.partitionBy("k", "s").orderBy("p"), Window.partitionBy("k").orderBy("s")
+    slices = f.groupBy("k", "s").agg(F.max_by(F.struct("l"), "p").alias("last"), F.max("p").alias("most"))
+    edges = slices.select("k", "s", F.lag("last").over(along).alias("before"), F.lag("most").over(along).alias("before_p"), F.max("most").over(Window.partitionBy("k")).alias("final"))
+    told = f.withColumn("prev", F.lag(F.struct("l")).over(inside)).withColumn("prev_p", F.lag("p").over(inside))
+    told = told.alias("t").join(edges.alias("e"), F.expr("t.k <=> e.k and t.s = e.s")).select("t.*", "before", "before_p", "final")
+    told = told.withColumn("prev", F.coalesce("prev", "before")).withColumn("prev_p", F.coalesce("prev_p", "before_p"))
+    starts = told.filter(F.col("prev").isNull() | ~F.col("prev.l").eqNullSafe(F.col("l")))
+    firsts = starts.groupBy("k", "s").agg(F.min_by("prev_p", "p").alias("first_prev"))
+    later = Window.partitionBy("k").orderBy("s").rowsBetween(1, Window.unboundedFollowing)
+    nexts = slices.alias("a").join(firsts.alias("b"), F.expr("a.k <=> b.k and a.s = b.s"), "left").select("a.k", "a.s", "first_prev")
+    nexts = nexts.select("k", "s", F.first("first_prev", ignorenulls=True).over(later).alias("next_prev"))
+    led = starts.withColumn("until", F.lead("prev_p").over(inside))
+    out = led.alias("a").join(nexts.alias("b"), F.expr("a.k <=> b.k and a.s = b.s"))
+    return out.select(F.col("a.k").alias(key), F.col("l").alias(label), F.col("p").alias("start"), F.coalesce("until", "next_prev", "final").alias("end"))
 
 
 def with_token_spans(df: DataFrame, tokens: str, segments: str) -> DataFrame:

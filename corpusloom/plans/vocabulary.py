@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.constants import SEED, SPEECH_MARK, TEXT_MARK, VOCABULARY_MULTIPLE
 from corpusloom.functions.units import padded_vocabulary, unit_to_pua
 
 
+def read_sentencepiece(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece, score) of a SentencePiece model; their number is its vocabulary size."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return spark.createDataFrame([(i, model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size())], "id bigint, piece string, score double")
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """piece and score between tabs, in the order of ids."""
+    lines = vocabulary.select(F.concat_ws("\t", "piece", F.col("score").cast("string")).alias("value"), "id")
+    lines.repartitionByRange(1, "id").sortWithinPartitions("id").select("value").write.mode("errorifexists").text(path)
+
+
 def extend(vocabulary: DataFrame, units: int, marks: bool = True) -> DataFrame:
     """(id, piece, score): the vocabulary, then one piece for each unit, then the text and speech marks.
 
@@ -34,4 +48,4 @@ def embedding_rows(mean: np.ndarray, covariance: np.ndarray, rows: int, scale: f
     return np.random.default_rng(seed).multivariate_normal(mean, covariance * scale, size=rows)
 
 
-__all__ = ["embedding_rows", "extend", "padded_vocabulary", "padding_rows"]
+__all__ = ["embedding_rows", "extend", "padded_vocabulary", "padding_rows", "read_sentencepiece", "write_vocabulary"]

@@ -22,6 +22,11 @@ def test_merge_repeats(spark):
     assert got == {k: runs(p) for k, p in enumerate(paths)}
     long = align.merge_repeats_long(df.select("k", F.posexplode("p").alias("i", "label")), "k", "i", "label")
     assert {(r["k"], str(r["label"]), r["start"], r["end"]) for r in long.collect()} == {(k, *x) for k, p in enumerate(paths) for x in runs(p)}
+    # slices of three frames, gaps between positions, and a null key and label
+    gaps = [(None if k == 3 else k, 2 * i, None if x == 2 else x) for k, p in enumerate(paths) for i, x in enumerate(p)]
+    cut = align.merge_repeats_long(spark.createDataFrame(gaps, "k int, i int, label int"), "k", "i", "label", slice_rows=6)
+    expected = {(None if k == 3 else k, None if x == "2" else int(x), 2 * a, 2 * b) for k, p in enumerate(paths) for x, a, b in runs(p)}
+    assert {tuple(r) for r in cut.select("k", "label", "start", "end").collect()} == expected
 
 
 def spans_of(tokens, segments):
@@ -225,6 +230,13 @@ def test_align_and_encode(spark):
     assert {r["_row_idx"]: r["error"] for r in bad.collect()} == {1: "no emissions", 2: "first token is empty"}
 
 
+def test_sentencepiece(spark, tmp_path):
+    pieces = vocabulary.read_sentencepiece(spark, "/opt/tokenizers/piece_bpe_32k.model")
+    assert pieces.count() == 32_000 and pieces.filter("id = 0").first()["piece"] == "<unk>"
+    vocabulary.write_vocabulary(pieces.filter("id < 3"), str(tmp_path / "v"))
+    assert "".join(p.read_text() for p in (tmp_path / "v").glob("part-*")).startswith("<unk>\t0.0\n<s>\t")
+
+
 def test_vocabulary(spark):
     base = spark.createDataFrame([(0, "<unk>", 0.0), (1, "a", -1.0)], "id bigint, piece string, score double")
     out = [tuple(r) for r in vocabulary.extend(base, 2).orderBy("id").collect()]
