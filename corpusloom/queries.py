@@ -757,5 +757,4 @@ def stream_tokens(s, d):
 
 @query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(s, d):
-    events = table("events")(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return manifests.windowed_counts(events, "ts", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return manifests.windowed_counts(table("events")(s, d), "ts", "event_type")
