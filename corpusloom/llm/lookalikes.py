@@ -15,7 +15,7 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -47,7 +47,7 @@ _TOKEN = regex.compile(r"[^\s]+")
 _SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
-@cache
+@lru_cache(maxsize=100_000)
 def _resolved(c: str) -> str:
     tag, _, rest = unicodedata.decomposition(c).partition(" ")
     if not tag.startswith("<"):
@@ -69,7 +69,7 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFD", _SPACES.sub(" ", "".join(map(_resolved, kept))))
 
 
-@cache
+@lru_cache(maxsize=100_000)
 def _script(c: str) -> str:
     if not c.isalpha():
         return ""
@@ -146,17 +146,25 @@ class Speller:
     def text(self, text: str) -> str:
         """The consistent form of a text; spaces of any width become plain ones, line breaks stay."""
         kept = text if text.isascii() else _SPACES.sub(" ", _IGNORED.sub("", text))
-        return _TOKEN.sub(lambda m: self.token(m[0]), kept)
+        known, out = self.known, []
+        for part in kept.split(" "):
+            form = known.get(part)
+            # other white space than blanks stays where it is
+            out.append(_TOKEN.sub(lambda m: self.token(m[0]), part) if form is None else form)
+        return " ".join(out)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
+    tokens: Counter = Counter()
     for batch in batches:
-        tokens: Counter = Counter()
         for text in batch.column(0).to_pylist():
             if text:
-                tokens.update(_TOKEN.findall(text))
-        total.update(bigrams(tokens))
+                tokens.update(text.split())
+        if len(tokens) > KNOWN:
+            total.update(bigrams(tokens))
+            tokens.clear()
+    total.update(bigrams(tokens))
     if total:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in total]), pa.array([b for _, b in total]), pa.array(list(total.values()), pa.int64())], names=["a", "b", "n"])
 
