@@ -207,6 +207,8 @@ NAMES = [
 ]
 
 _DIGITS = regex.compile(r"\d")
+_CLUSTER = regex.compile(r"\d(?:.{0,24}\d)*+", regex.S)
+_AT_SIGN = regex.compile(r"@|[\(\[\{<]\s?at\s?[\)\]\}>]|\sAT\s")
 
 
 def _automaton(words: list[str]) -> ahocorasick.Automaton:
@@ -289,6 +291,8 @@ class Finder:
         # a number alone is no identity number: without one of the words no rule reaches the threshold
         lower = flat.lower()
         identity = any(True for _ in _IDENTITY_STEMS.iter(lower))
+        # phones and identity numbers have six digits or more, close to each other
+        numbers = [(max(0, m.start() - 24), m.end() + 40) for m in _CLUSTER.finditer(flat) if len(_DIGITS.findall(m[0])) > 5] if digits else []
         for rules in (EMAILS, PHONES, IDENTITIES, ADDRESSES, NAMES):
             if rules is IDENTITIES and not identity:
                 continue
@@ -297,13 +301,26 @@ class Finder:
                     continue
                 if rule.needs and there.isdisjoint(rule.long) and not any(n in flat for n in rule.short):
                     continue
-                for m in rule.pattern.finditer(flat):
-                    a, b = m.span()
+                for a, b in self._matches(rule, rules, flat, numbers):
                     if (score := self._score(rule, flat, a, b)) >= THRESHOLD:
                         found.append((score, a, b, rule.kind))
         found += self._registered(flat)
         return self._settle(found)
 
+    @staticmethod
+    def _matches(rule: Rule, rules: list[Rule], text: str, numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Where a rule matches; around digits or at-signs only where it has these."""
+        if rule is EMAILS[0]:
+            stretches = [(max(0, m.start() - 200), m.end() + 300) for m in _AT_SIGN.finditer(text)]
+        elif rule.digits and (rules is PHONES or rules is IDENTITIES):
+            stretches = numbers
+        else:
+            stretches = [(0, len(text))]
+        # what precedes a stretch is still seen by the patterns, and it ends well after the last digit
+        for pos, end in stretches:
+            for m in rule.pattern.finditer(text, pos, min(end, len(text))):
+                yield m.span()
+
     def _score(self, rule: Rule, text: str, a: int, b: int) -> float:
         score, value = rule.base, text[a:b]
         head, tail = text[max(0, a - BEFORE) : a], text[b : b + AFTER]
