@@ -45,14 +45,18 @@ def interleave(aligned: DataFrame, marks: bool = True, dedup: bool = True, seed:
     rows = aligned.select(ROW, tokens, units, STARTS, ENDS).withColumn("_bounds", bounds)
     even = F.pmod(F.col(ROW), F.lit(2)) == 0
 
-    def span(i: Column) -> Column:
+    is_text = lambda i: (F.pmod(i, F.lit(2)) == 0) == even
+
+    def part(i: Column) -> Column:
+        cut = units_of_span(units, F.get(STARTS, F.get("_bounds", i)), F.get(ENDS, F.get("_bounds", i + 1) - 1))
+        return F.when(is_text(i), F.array().cast("array<int>")).otherwise(cut)
+
+    def span(p: Column, i: Column) -> Column:
         first, until = F.get("_bounds", i), F.get("_bounds", i + 1)
-        words = F.array_join(F.slice(tokens, first + 1, until - first), " ")
-        part = units_of_span(units, F.get(STARTS, first), F.get(ENDS, until - 1))
-        speech = units_to_pua(without_repeats(part) if dedup else part)
+        words, speech = F.array_join(F.slice(tokens, first + 1, until - first), " "), units_to_pua(without_repeats(p) if dedup else p)
         if marks:
             words, speech = F.concat(F.lit(TEXT_MARK + " "), words), F.concat(F.lit(SPEECH_MARK + " "), speech)
-        return F.when((F.pmod(i, F.lit(2)) == 0) == even, words).otherwise(speech)
+        return F.when(is_text(i), words).otherwise(speech)
 
     error = (
         F.when(tokens.isNull(), "no tokens")
@@ -60,5 +64,6 @@ def interleave(aligned: DataFrame, marks: bool = True, dedup: bool = True, seed:
         .when(~((F.size(tokens) == F.size(STARTS)) & (F.size(tokens) == F.size(ENDS))) | F.col(STARTS).isNull() | F.col(ENDS).isNull(), "times differ from tokens")
         .when((F.size(tokens) == 0) & ~even, "no tokens")
     )
-    spans = F.transform(F.sequence(F.lit(0), F.size("_bounds") - 2), span)
+    # the units are cut first, so that the lambda over them sees a value and not the cutting
+    spans = F.transform(F.transform(F.sequence(F.lit(0), F.size("_bounds") - 2), part), span)
     return rows.withColumn("error", error).select(ROW, F.when(F.col("error").isNull(), F.array_join(spans, " ")).alias(TEXT_KEY), "error")
