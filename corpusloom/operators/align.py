@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.constants import BLANK
 
 SEGMENT = "struct<label:string,start:int,end:int>"
+#: Rows aligned together, and frames x states of them that are held; a row beyond that is aligned alone.
+ROWS_AT_ONCE, STATES_AT_ONCE = 64, 40_000_000
 
 
 def merge_repeats(path: Column) -> Column:
@@ -99,49 +101,123 @@ def viterbi(emissions: np.ndarray, targets: list[int], blank: int = 0) -> list[i
 
     The states are blank, y1, blank, y2, ..., blank; a blank between different labels may be passed over.
     """
-    frames, states = len(emissions), 2 * len(targets) + 1
-    labels = np.full(states, blank)
-    labels[1::2] = targets
+    _require_feasible(emissions, targets)
+    return _paths([emissions], [targets], blank)[0].tolist()
+
+
+def _require_feasible(emissions: np.ndarray, targets: list[int]) -> None:
+    frames = len(emissions)
     if not frames or frames < len(targets) + sum(a == b for a, b in zip(targets, targets[1:])):
         raise ValueError("more targets than frames")
-    may_skip = np.zeros(states, dtype=bool)
-    may_skip[3::2] = labels[3::2] != labels[1:-2:2]
-    score = np.full(states, -np.inf)
-    score[:2] = emissions[0, labels[:2]]
-    came = np.zeros((frames, states), dtype=np.int8)
-    for t in range(1, frames):
-        options = np.full((3, states), -np.inf)
-        options[0] = score
-        options[1, 1:] = score[:-1]
-        options[2, 2:] = np.where(may_skip[2:], score[:-2], -np.inf)
-        came[t] = options.argmax(0)  # the first of equal ones
-        score = options[came[t], np.arange(states)] + emissions[t, labels]
-    state = states - 1 if states == 1 or score[-1] >= score[-2] else states - 2
-    path = []
-    for t in range(frames - 1, -1, -1):
-        path.append(int(labels[state]))
-        state -= came[t, state]
-    return path[::-1]
-
-
-def align(df: DataFrame, key: str, emissions: str, targets: str, blank: int = 0) -> DataFrame:
-    """(key, path, error): the best path of each row; rows that cannot be aligned have an error and no path."""
+    if targets and not 0 <= min(targets) <= max(targets) < emissions.shape[1]:
+        raise IndexError("a target is no label of the emissions")
+
+
+def _paths(emissions: list[np.ndarray], targets: list[list[int]], blank: int) -> list[np.ndarray]:
+    """The best paths of several rows, one frame of all of them at a time.
+
+    Blank k (state 2k) and letter k (state 2k + 1) are kept apart, since only letters may be reached
+    by passing over a blank. Rows stand longest first, so that those with a frame t are the first
+    ones; at each frame only states that can be reached, and from which an end can be, are looked at.
+    """
+    order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
+    frames, letters = np.array([len(emissions[i]) for i in order]), np.array([len(targets[i]) for i in order])
+    most, rows, n, width = int(frames[0]), len(order), int(letters.max()), max(e.shape[1] for e in emissions)
+    told, y = np.zeros((most, rows, width)), np.full((rows, n), blank)
+    for r, i in enumerate(order):
+        told[: frames[r], r, : emissions[i].shape[1]] = emissions[i]
+        y[r, : letters[r]] = targets[i]
+    place = y + width * np.arange(rows)[:, None]
+    skip = np.full((rows, n), -np.inf)
+    skip[:, 1:][y[:, 1:] != y[:, :-1]] = 0
+    blanks, sung = np.full((rows, n + 1), -np.inf), np.full((rows, n + 1), -np.inf)  # letter k is at k + 1 of sung
+    blanks[:, 0] = told[0, :, blank]
+    if n:
+        sung[:, 1] = told[0].ravel()[place[:, 0]]
+    came = np.zeros((most, rows, 2 * n + 1), dtype=np.int8)
+    moved = came.view(bool)
+    active = np.searchsorted(-frames, -np.arange(most))
+    least = np.minimum.accumulate(2 * letters + 1 - 2 * frames)
+    for t in range(1, most):
+        m = active[t]
+        lo, hi, end = max(0, int(least[m - 1]) + 2 * t) // 2, min(n, t + 1), min(n + 1, t + 1)
+        before, here = sung[:m, lo:end], blanks[:m, lo:end]
+        stay, step = sung[:m, lo + 1 : hi + 1], blanks[:m, lo:hi]
+        over = sung[:m, lo:hi] + skip[:m, lo:hi]
+        stepped, best = step > stay, np.maximum(stay, step)
+        skipped = over > best  # the first of equal ones
+        np.maximum(best, over, out=best)
+        np.maximum(stepped.view(np.int8), skipped.view(np.int8) * np.int8(2), out=came[t, :m, 2 * lo + 1 : 2 * hi : 2])
+        np.greater(before, here, out=moved[t, :m, 2 * lo : 2 * end - 1 : 2])
+        np.maximum(here, before, out=here)
+        here += told[t, :m, blank, None]
+        np.add(best, told[t].ravel().take(place[:m, lo:hi]), out=stay)
+    each = np.arange(rows)
+    state = 2 * letters - (blanks[each, letters] < sung[each, letters])
+    states, first = np.zeros((most, rows), dtype=np.int64), each * (2 * n + 1)
+    for t in range(most - 1, -1, -1):
+        s = state[: active[t]]
+        states[t, : len(s)] = s
+        s -= came[t].ravel().take(first[: len(s)] + s)
+    names = np.full((rows, 2 * n + 1), blank, dtype=np.int32)
+    names[:, 1::2] = y
+    labels = names[each, states]
+    out: list[np.ndarray] = [labels[:0, 0]] * rows
+    for r, i in enumerate(order):
+        out[i] = labels[: frames[r], r]
+    return out
+
+
+def _matrix(row: pa.Scalar) -> np.ndarray | None:
+    """Frames x labels of a nested list; None if null or empty."""
+    if not row.is_valid or not len(row.values):
+        return None
+    inner = row.values
+    widths = inner.value_lengths().to_numpy(zero_copy_only=False)
+    if (widths != widths[0]).any():
+        raise ValueError("frames with different labels")
+    return inner.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(inner), -1)
+
+
+def align(df: DataFrame, key: str, emissions: str, targets: str, blank: int = 0, emit: Callable[[object, object], np.ndarray | None] | None = None) -> DataFrame:
+    """(key, path, error): the best path of each row; rows that cannot be aligned have an error and no path.
+
+    With ``emit``, the worker makes a row's emissions (frames x labels) from the key and the column
+    ``emissions``, so that they never pass through the plan.
+    """
     rows = df.select(key, emissions, targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, errors = [], []
-            for e, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            paths, errors = [None] * batch.num_rows, [None] * batch.num_rows
+            spelled = batch.column(2)
+            held: list[tuple[int, np.ndarray, list[int]]] = []
+            frames = letters = 0
+
+            def settle() -> None:
+                for (i, _, _), path in zip(held, _paths([e for _, e, _ in held], [y for _, _, y in held], blank) if held else ()):
+                    paths[i] = path
+                held.clear()
+
+            # rows of about as many letters together
+            for i in np.argsort(spelled.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), kind="stable").tolist():
                 try:
+                    y = spelled[i].as_py()
                     if not y:
                         raise ValueError("no tokens")
-                    if not e:
+                    e = _matrix(batch.column(1)[i]) if emit is None else emit(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                    if e is None or not len(e):
                         raise ValueError("no emissions")
-                    paths.append(viterbi(np.array(e, float), y, blank))
-                    errors.append(None)
+                    _require_feasible(e, y)
                 except ValueError as x:
-                    paths.append(None)
-                    errors.append(str(x))
+                    errors[i] = str(x)
+                    continue
+                frames, letters = (max(frames, len(e)), max(letters, len(y))) if held else (len(e), len(y))
+                if held and (len(held) >= ROWS_AT_ONCE or (len(held) + 1) * frames * (2 * letters + 1) > STATES_AT_ONCE):
+                    settle()
+                    frames, letters = len(e), len(y)
+                held.append((i, e, y))
+            settle()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int32())), pa.array(errors, pa.string())], names=[key, "path", "error"])
 
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, path array<int>, error string")
