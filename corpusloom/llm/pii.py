@@ -22,6 +22,8 @@ from corpusloom.llm.bpe import spread
 
 #: A span counts from this score on.
 THRESHOLD = 0.5
+#: What a valid check digit adds to the score of an identity number.
+CHECKED = 0.15
 #: Characters before and after a span whose words count.
 BEFORE, AFTER = 48, 40
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -288,15 +290,15 @@ class Finder:
         there = {k for _, k in _STEMS.iter(flat)}
         found: list[tuple[float, int, int, str]] = []
         digits = _DIGITS.search(flat) is not None
-        # a number alone is no identity number: without one of the words no rule reaches the threshold
+        # without one of the words, only rules that reach the threshold by their form and check digits are tried
         lower = flat.lower()
         identity = any(True for _ in _IDENTITY_STEMS.iter(lower))
         # phones and identity numbers have six digits or more, close to each other
         numbers = [(max(0, m.start() - 24), m.end() + 40) for m in _CLUSTER.finditer(flat) if len(_DIGITS.findall(m[0])) > 5] if digits else []
         for rules in (EMAILS, PHONES, IDENTITIES, ADDRESSES, NAMES):
-            if rules is IDENTITIES and not identity:
-                continue
             for rule in rules:
+                if rules is IDENTITIES and not identity and rule.base + CHECKED < THRESHOLD:
+                    continue
                 if rule.digits and not digits:
                     continue
                 if rule.needs and there.isdisjoint(rule.long) and not any(n in flat for n in rule.short):
@@ -335,7 +337,7 @@ class Finder:
             if rule.after and rule.after.match(tail):
                 score += 0.6
             if rule.kind == "identity" and score >= 0.1 and checksum(value):
-                score += 0.15
+                score += CHECKED
         elif rule.kind == "name":
             words = [w.casefold() for w in regex.findall(r"\p{L}[\p{L}\p{M}'-]*", value)]
             if any(w in NOT_FAMILIES for w in words):
