@@ -104,6 +104,8 @@ class Rule:
     #: Raises the score where found before (or after) the span.
     before: regex.Pattern | None = None
     after: regex.Pattern | None = None
+    #: The least number of digits that a match of a number rule has.
+    least: int = 6
 
     @cached_property
     def long(self) -> frozenset[str]:
@@ -114,9 +116,9 @@ class Rule:
         return tuple(n for n in self.needs if len(n) <= 2)
 
 
-def _rule(kind: str, pattern: str, base: float, needs: tuple[str, ...] = (), before: str = "", after: str = "", flags: int = 0) -> Rule:
+def _rule(kind: str, pattern: str, base: float, needs: tuple[str, ...] = (), before: str = "", after: str = "", flags: int = 0, least: int = 6) -> Rule:
     near = lambda p, end: regex.compile(rf"{BORDER}(?:{p})(?!\p{{L}}){end}", regex.I) if p else None
-    return Rule(kind, regex.compile(pattern, flags), base, kind in ("phone", "identity", "address") and DIGITS not in pattern and NUMBERS not in pattern, needs, near(before, ""), regex.compile(after, regex.I) if after else None)
+    return Rule(kind, regex.compile(pattern, flags), base, kind in ("phone", "identity", "address") and DIGITS not in pattern and NUMBERS not in pattern, needs, near(before, ""), regex.compile(after, regex.I) if after else None, least)
 
 
 _LOCAL = r"(?:\"[^\"\s@]{1,64}\"|[\p{L}\d](?:[\p{L}\d._%+'-]*[\p{L}\d_+-])?(?:\s?[\(\[]dot[\)\]]\s?[\p{L}\d._%+-]+)*)"
@@ -152,7 +154,7 @@ PHONES = [
     _rule("phone", rf"{_START}(?:8\s?)?\(\d{{2,4}}\)\s?\d{{3}}[-\s]\d{{2}}[-\s]\d{{2}}{_EXT}{_END}", 0.7, ("(",)),
     _rule("phone", rf"{_START}\d{{3}}\s\d{{9}}{_EXT}{_END}", 0.2, (), PHONE_WORDS),
     # whatever a label announces
-    _rule("phone", rf"(?<={BORDER}(?:[Tt][ée]l(?:\.|:|\.:)|[Pp]hone:|[Ff]ax|[Tt]elefon:|[Tt]eléfono es|[Тт]елефон|joindre au|erreichen mich unter|ring me on|call me on|reader contact|\"tel\":\s\")\s?)\(?\+?\d[\d\s().\-/]{{5,18}}\d{_EXT}{_END}", 0.7, ("el", "él", "ax", "unter", "oindre", "ring me", "call me", "contact")),
+    _rule("phone", rf"(?<={BORDER}(?:[Tt][ée]l(?:\.|:|\.:)|[Pp]hone:|[Ff]ax|[Tt]elefon:|[Tt]eléfono es|[Тт]елефон|joindre au|erreichen mich unter|ring me on|call me on|reader contact|\"tel\":\s\")\s?)\(?\+?\d[\d\s().\-/]{{5,18}}\d{_EXT}{_END}", 0.7, ("el", "él", "ax", "unter", "oindre", "ring me", "call me", "contact"), least=2),
     # in words
     _rule("phone", rf"(?<=\b(?:call|call\sme\son|reach\sme\sat|reach\sme\son|ring|ring\sme\son|number\sis|phone\sis|dial|fax|mobile\sis)\s){DIGITS}(?!\p{{L}})", 0.7, (" five", " seven", " zero", " oh", " one", " two")),
 ]
@@ -163,9 +165,9 @@ IDENTITIES = [
     # Spanish number with its letter
     _rule("identity", rf"{_START}(?:[XYZ]-?)?\d(?:\.?\d){{6,7}}-?[A-Z]{_END}", 0.4, (), IDENTITY_WORDS, IDENTITY_AFTER),
     # letters, then digits in up to five groups
-    _rule("identity", rf"{_START}[A-Z]{{1,3}}[\s-]?\d{{3,9}}(?:[-\s]\d{{1,6}}){{0,4}}{_END}", 0.2, (), IDENTITY_WORDS, IDENTITY_AFTER),
+    _rule("identity", rf"{_START}[A-Z]{{1,3}}[\s-]?\d{{3,9}}(?:[-\s]\d{{1,6}}){{0,4}}{_END}", 0.2, (), IDENTITY_WORDS, IDENTITY_AFTER, least=3),
     # letters among the digits
-    _rule("identity", rf"{_START}(?=[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d)(?=\d*[A-Z])[A-Z\d]{{7,14}}{_END}", 0.2, (), IDENTITY_WORDS, IDENTITY_AFTER),
+    _rule("identity", rf"{_START}(?=[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d)(?=\d*[A-Z])[A-Z\d]{{7,14}}{_END}", 0.2, (), IDENTITY_WORDS, IDENTITY_AFTER, least=4),
     # digits in groups
     _rule("identity", rf"{_START}\d(?:[\s./-]?\d){{7,20}}{_END}", 0.1, (), IDENTITY_WORDS, IDENTITY_AFTER),
     _rule("identity", rf"(?<=\b(?:number\son\sthe\sform\sis|passport\snumber\sis|insurance\snumber\sis|security\snumber\sis|id\snumber\sis|tax\snumber\sis)\s){DIGITS}(?!\p{{L}})", 1.0, (" is ",)),
@@ -221,6 +223,7 @@ def _automaton(words: list[str]) -> ahocorasick.Automaton:
     return out
 
 
+_LEAST = sorted({r.least for r in PHONES + IDENTITIES if r.digits})
 _STEMS = _automaton(sorted({n for rules in (EMAILS, PHONES, IDENTITIES, ADDRESSES, NAMES) for r in rules for n in r.long}))
 _IDENTITY_STEMS = _automaton(list(NUMBERED))
 _CLOSE_NEGATIVE = regex.compile(rf"{BORDER}(?:{NEGATIVE})(?:\s(?:of|no\.?|number))?[\s:#_\"]{{1,4}}[\w\s.-]{{0,4}}$", regex.I)
@@ -273,6 +276,17 @@ def checksum(value: str) -> bool:
     return mod97(digits) or weighted(digits, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)) or iso_mod_11_10(digits) or dni(value) or (len(digits) in (15, 16) and luhn(digits))
 
 
+def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches in order, those that overlap made one, so that none ends inside what the next one holds."""
+    out: list[tuple[int, int]] = []
+    for a, b in stretches:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 class Finder:
     """Finds the spans of a text; knows the registered readers."""
 
@@ -293,8 +307,9 @@ class Finder:
         # without one of the words, only rules that reach the threshold by their form and check digits are tried
         lower = flat.lower()
         identity = any(True for _ in _IDENTITY_STEMS.iter(lower))
-        # phones and identity numbers have six digits or more, close to each other
-        numbers = [(max(0, m.start() - 24), m.end() + 40) for m in _CLUSTER.finditer(flat) if len(_DIGITS.findall(m[0])) > 5] if digits else []
+        # the digits of phones and identity numbers stand close to each other
+        clusters = [(m.start(), m.end(), len(_DIGITS.findall(m[0]))) for m in _CLUSTER.finditer(flat)] if digits else []
+        numbers = {n: _joined([(max(0, a - 24), b + 40) for a, b, has in clusters if has >= n]) for n in _LEAST}
         for rules in (EMAILS, PHONES, IDENTITIES, ADDRESSES, NAMES):
             for rule in rules:
                 if rules is IDENTITIES and not identity and rule.base + CHECKED < THRESHOLD:
@@ -310,12 +325,12 @@ class Finder:
         return self._settle(found)
 
     @staticmethod
-    def _matches(rule: Rule, rules: list[Rule], text: str, numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    def _matches(rule: Rule, rules: list[Rule], text: str, numbers: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
         """Where a rule matches; around digits or at-signs only where it has these."""
         if rule is EMAILS[0]:
             stretches = [(max(0, m.start() - 200), m.end() + 300) for m in _AT_SIGN.finditer(text)]
         elif rule.digits and (rules is PHONES or rules is IDENTITIES):
-            stretches = numbers
+            stretches = numbers[rule.least]
         else:
             stretches = [(0, len(text))]
         # what precedes a stretch is still seen by the patterns, and it ends well after the last digit

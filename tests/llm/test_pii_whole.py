@@ -12,3 +12,12 @@ def items(text):
 @pytest.mark.parametrize("number", ["QQ 12 34 56 C", "12345678Z"])
 def test_numbers_that_need_no_word(number):
     assert items(f"so it was {number} in the end") == [("identity", number)]
+
+
+@pytest.mark.parametrize(("text", "number"), [("my passport number C4VMV1M52 is new", "C4VMV1M52"), ("the id card AB 123 was lost", "AB 123")])
+def test_labelled_numbers_of_few_digits(text, number):
+    assert items(text) == [("identity", number)]
+
+
+def test_phone_label_before_few_digits():
+    assert items("Tel. 12 - 34 5, please") == [("phone", "12 - 34 5")]
