@@ -130,8 +130,8 @@ _SPOKEN_LOCAL = rf"(?:(?:(?<=\bis\s)|(?<='s\s)|(?<=\bto\s)|(?![ai]\s))[a-z]\s)?[
 _SPOKEN_DOMAIN = r"[a-z]+(?:\s(?:dash|hyphen)\s[a-z]+)*(?:\sdot\s[a-z]+(?:\s(?:dash|hyphen)\s[a-z]+)*)+"
 
 EMAILS = [
-    _rule("email", rf"(?<![\p{{L}}\d._%+-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", 1.2, ("@", "(at", "[at", "{at", "<at", "( at", "[ at", " AT ")),
-    _rule("email", rf"(?<![\p{{L}}\d']){_SPOKEN_LOCAL}\sat\s{_SPOKEN_DOMAIN}(?!\p{{L}})", 1.2, (" dot ",)),
+    _rule("email", rf"(?<![\p{{L}}\d._%+-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", 1.2),
+    _rule("email", rf"(?<![\p{{L}}\d']){_SPOKEN_LOCAL}\sat\s{_SPOKEN_DOMAIN}(?!\p{{L}})", 1.2, ("dot",)),
 ]
 
 _EXT = r"(?:,?\s?(?:x|ext\.?|extension|доб\.?|Durchwahl|poste|wew\.)\s?\d{1,5}(?!\d))?"
@@ -154,9 +154,9 @@ PHONES = [
     _rule("phone", rf"{_START}(?:8\s?)?\(\d{{2,4}}\)\s?\d{{3}}[-\s]\d{{2}}[-\s]\d{{2}}{_EXT}{_END}", 0.7, ("(",)),
     _rule("phone", rf"{_START}\d{{3}}\s\d{{9}}{_EXT}{_END}", 0.2, (), PHONE_WORDS),
     # whatever a label announces
-    _rule("phone", rf"(?<={BORDER}(?:[Tt][ée]l(?:\.|:|\.:)|[Pp]hone:|[Ff]ax|[Tt]elefon:|[Tt]eléfono es|[Тт]елефон|joindre au|erreichen mich unter|ring me on|call me on|reader contact|\"tel\":\s\")\s?)\(?\+?\d[\d\s().\-/]{{5,18}}\d{_EXT}{_END}", 0.7, ("el", "él", "ax", "unter", "oindre", "ring me", "call me", "contact"), least=2),
+    _rule("phone", rf"(?<={BORDER}(?:[Tt][ée]l(?:\.|:|\.:)|[Pp]hone:|[Ff]ax|[Tt]elefon:|[Tt]eléfono es|[Тт]елефон|joindre au|erreichen mich unter|ring me on|call me on|reader contact|\"tel\":\s\")\s?)\(?\+?\d[\d\s().\-/]{{5,18}}\d{_EXT}{_END}", 0.7, ("el", "él", "hone", "ax", "елефон", "unter", "oindre", "ring me", "call me", "contact"), least=2),
     # in words
-    _rule("phone", rf"(?<=\b(?:call|call\sme\son|reach\sme\sat|reach\sme\son|ring|ring\sme\son|number\sis|phone\sis|dial|fax|mobile\sis)\s){DIGITS}(?!\p{{L}})", 0.7, (" five", " seven", " zero", " oh", " one", " two")),
+    _rule("phone", rf"(?<=\b(?:call|call\sme\son|reach\sme\sat|reach\sme\son|ring|ring\sme\son|number\sis|phone\sis|dial|fax|mobile\sis)\s){DIGITS}(?!\p{{L}})", 0.7, _words(DIGIT[3:-1])),
 ]
 
 IDENTITIES = [
@@ -170,7 +170,7 @@ IDENTITIES = [
     _rule("identity", rf"{_START}(?=[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d)(?=\d*[A-Z])[A-Z\d]{{7,14}}{_END}", 0.2, (), IDENTITY_WORDS, IDENTITY_AFTER, least=4),
     # digits in groups
     _rule("identity", rf"{_START}\d(?:[\s./-]?\d){{7,20}}{_END}", 0.1, (), IDENTITY_WORDS, IDENTITY_AFTER),
-    _rule("identity", rf"(?<=\b(?:number\son\sthe\sform\sis|passport\snumber\sis|insurance\snumber\sis|security\snumber\sis|id\snumber\sis|tax\snumber\sis)\s){DIGITS}(?!\p{{L}})", 1.0, (" is ",)),
+    _rule("identity", rf"(?<=\b(?:number\son\sthe\sform\sis|passport\snumber\sis|insurance\snumber\sis|security\snumber\sis|id\snumber\sis|tax\snumber\sis)\s){DIGITS}(?!\p{{L}})", 1.0, ("number",)),
 ]
 
 _FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Studio)\s\d+[A-Za-z]?\b"
@@ -196,8 +196,8 @@ ADDRESSES = [
 
 NAMES = [
     # after a title the family name alone; more only where its first part is a known given name
-    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{PARTS}", 0.7, _words(TITLES, " ", ". ")),
-    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.4, _words(TITLES, " ", ". ")),
+    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{PARTS}", 0.7, _words(TITLES.replace("Herrn?", "Herr|Herrn"), " ", ". ")),
+    _rule("name", rf"{BORDER}(?:{TITLES})\.?\s(?:(?:{TITLES})\.?\s)?\K{FULL}(?!\p{{L}})", 0.4, _words(TITLES.replace("Herrn?", "Herr|Herrn"), " ", ". ")),
     _rule("name", rf"{BORDER}(?:{INTRODUCTIONS})\s\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.8, INTRODUCED),
     _rule("name", rf"{BORDER}(?:{CLOSINGS})\s+\K(?!(?:{TITLES})\b){FULL}(?!\p{{L}})", 0.9, CLOSED),
     _rule("name", rf"\"(?:reader|name|speaker|author|narrator|contact|proof_listener|coordinator)\":\s?\"\K{FULL}(?=\")", 1.0, ('": "', '":"')),
@@ -212,6 +212,7 @@ NAMES = [
 
 _DIGITS = regex.compile(r"\d")
 _CLUSTER = regex.compile(r"\d(?:.{0,24}\d)*+", regex.S)
+_DOTTED = regex.compile(r"dot|DOT")
 _AT_SIGN = regex.compile(r"@|[\(\[\{<]\s?at\s?[\)\]\}>]|\sAT\s")
 
 
@@ -287,6 +288,28 @@ def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _around_ats(text: str) -> list[tuple[int, int]]:
+    """From 200 characters before to 300 after each at-sign, and on to the ends of what is joined there.
+
+    That is the run without spaces, and further runs where a spelled dot stands at the space.
+    """
+    out: list[tuple[int, int]] = []
+    for m in _AT_SIGN.finditer(text):
+        floor = out[-1][1] if out else 0
+        if m.end() + 300 <= floor:
+            continue
+        first, end = max(floor, m.start() - 200), min(len(text), max(floor, m.end() + 300))
+        while first > floor and (not text[first - 1].isspace() or _DOTTED.search(text, max(0, first - 10), first + 10)):
+            first -= 1
+        while end < len(text) and (not text[end].isspace() or _DOTTED.search(text, max(0, end - 10), end + 10)):
+            end += 1
+        if out and first <= floor:
+            out[-1] = out[-1][0], end
+        else:
+            out.append((first, end))
+    return out
+
+
 class Finder:
     """Finds the spans of a text; knows the registered readers."""
 
@@ -328,7 +351,7 @@ class Finder:
     def _matches(rule: Rule, rules: list[Rule], text: str, numbers: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
         """Where a rule matches; around digits or at-signs only where it has these."""
         if rule is EMAILS[0]:
-            stretches = [(max(0, m.start() - 200), m.end() + 300) for m in _AT_SIGN.finditer(text)]
+            stretches = _around_ats(text)
         elif rule.digits and (rules is PHONES or rules is IDENTITIES):
             stretches = numbers[rule.least]
         else:

@@ -21,3 +21,30 @@ def test_labelled_numbers_of_few_digits(text, number):
 
 def test_phone_label_before_few_digits():
     assert items("Tel. 12 - 34 5, please") == [("phone", "12 - 34 5")]
+
+
+@pytest.mark.parametrize("number", ["eight three four nine six eight three", "four", "double nine six"])
+def test_spoken_phones_of_any_digits(number):
+    assert items(f"call {number}") == [("phone", number)]
+
+
+@pytest.mark.parametrize("email", ["j" * 700 + "@x.test", "j@" + "x" * 700 + ".test", "j (dot) doe" * 60 + "@" + "ab DOT " * 90 + "test", "a@b.test"])
+def test_emails_of_any_length(email):
+    assert items(f"write, {email}, today; or to c@d.test") == [("email", email), ("email", "c@d.test")]
+    assert items(f"{'write, ' * 99}{email}, {'today; ' * 99}c@d.test")[0] == ("email", email)
+
+
+def test_labels_that_announce_phones():
+    assert items("Phone: 12-345678 and") == items("phone: 12-345678") == [("phone", "12-345678")]
+
+
+def test_number_in_words_on_another_line():
+    assert items("the number on the form is\nzero four") == [("identity", "zero four")]
+
+
+def test_stretches_around_many_at_signs():
+    assert pii._around_ats("@" * 50_000) == [(0, 50_000)]
+
+
+def test_title_in_two_forms():
+    assert items("dort sah Herr Bauer zu") == [("name", "Bauer")]
