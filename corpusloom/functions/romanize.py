@@ -37,6 +37,8 @@ HANGUL_VOWELS = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".
 HANGUL_TAILS = "- g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split()
 LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "ng"}
 ABUGIDAS = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA")
+#: Rule lines beyond this number are not sent to the workers.
+MAX_RULES = 2_000_000
 #: Decompositions that change more than the shape and are not followed.
 NOT_FOLLOWED = ("<super>", "<sub>", "<noBreak>", "<compat>")
 KEEP_FINAL_A = frozenset({"san"})
@@ -310,5 +312,8 @@ def romanize_tokens(tokens: Column, language: str = "", rules: list[str] | None
 
 
 def read_rules(lines: DataFrame) -> list[str]:
-    """Rule lines of a table with a ``value`` column, in order; a rule file is bounded by its language, not by the corpus."""
-    return [r["value"] for r in lines.limit(2_000_000).collect()]
+    """Rule lines of a table with a ``value`` column, in order; more than ``MAX_RULES`` raise."""
+    rows = lines.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [r["value"] for r in rows]
