@@ -729,7 +729,7 @@ def kmeans_inertia(s, d):
 
 @query()
 def kmeans_fit(s, d):
-    return cluster.fit(table("embeddings")(s, d), "embedding", 8, max_iter=20, runs=2)
+    return cluster.fit(table("embeddings")(s, d), "embedding", 8)
 
 
 def _mixed(values: np.ndarray, seed: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import queries
@@ -75,3 +76,27 @@ def test_paths_of_many_rows_are_those_of_each():
         emissions = [-rng.integers(0, 4, size=(max(1, n) + int(rng.integers(0, 8)), 4)).astype(float) for n in need]
         got = align._paths(emissions, targets, 0)
         assert [p.tolist() for p in got] == [one_by_one(e, y) for e, y in zip(emissions, targets)]
+
+
+def test_kmeans_fit_has_the_operators_defaults(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([([1.0],)], "embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen = []
+
+    class Fitted(Exception):
+        pass
+
+    class Counted:
+        def __init__(self, **given):
+            seen.append(given)
+
+        def fit(self, data):
+            if len(seen) == 20:
+                raise Fitted
+            return self
+
+        summary = type("", (), {"trainingCost": 1.0})
+
+    monkeypatch.setattr(queries.cluster, "KMeans", Counted)
+    with pytest.raises(Fitted):
+        queries.kmeans_fit(spark, str(tmp_path))
+    assert {(x["maxIter"], x["tol"]) for x in seen} == {(100, 0.0)} and len({x["seed"] for x in seen}) == 20
