@@ -9,6 +9,31 @@ from corpusloom.constants import ENDS, ROW, SPEECH_TOKENS, STARTS
 from corpusloom.functions.units import frame_slice
 from corpusloom.operators.projections import select_codec_layer
 
+#: Rows of one key that a task joins; keys with more are spread over copies.
+KEY_ROWS = 500_000
+
+
+def split_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner", key_rows: int = KEY_ROWS, most: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``many`` joined with ``few`` on ``on``, with keys that hold very many rows of ``many`` spread over tasks.
+
+    One pass counts the rows of each key. A key with more than ``key_rows`` of them gets that many
+    times as many copies of its rows in ``few``, and the rows of ``many`` are dealt to them by a hash of
+    ``by``. There are at most rows / ``key_rows`` such keys, so their list may be broadcast. Without one
+    it is a plain join. ``how`` is 'inner' or 'left'; null keys meet nothing. Where no key can have more
+    than ``most`` rows, the count is saved if that is little enough; where the rows of each key are
+    known, ``sizes`` (``on``, ``_n``) takes its place.
+    """
+    if most is not None and most <= key_rows:
+        return many.join(few, on, how)
+    counted = (sizes or many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))).filter(F.col("_n") > key_rows)
+    hot = counted.select(*on, F.ceil(F.col("_n") / key_rows).cast("int").alias("_copies")).filter(" and ".join(f"`{c}` is not null" for c in on)).collect()
+    if not hot:
+        return many.join(few, on, how)
+    copies = F.broadcast(many.sparkSession.createDataFrame(hot, counted.select(*on).schema.add("_copies", "int")))
+    dealt = many.join(copies, on, "left").withColumn("_copy", F.pmod(F.xxhash64(*by), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    copied = few.join(copies, on, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(copied, [*on, "_copy"], how).drop("_copy")
+
 
 def join_codec(aligned: DataFrame, codec: DataFrame, prefix: str, layer: int) -> DataFrame:
     """The aligned rows with the speech tokens of one layer of another codec, by ID (inner).

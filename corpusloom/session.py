@@ -18,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -44,12 +45,16 @@ def ship(spark: SparkSession) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint.
 
-    The files go to the folder the cluster names in ``spark.checkpoint.dir``; a folder of
-    this machine is set only where none is configured (tests, one-machine work).
+    The files go to the folder the cluster names in ``spark.checkpoint.dir``. Without one a folder of
+    this machine serves local sessions (tests, one-machine work); on a cluster other machines could
+    not read it, so there it raises. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark
+    deletes a checkpoint's files once nothing refers to it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
     return df.checkpoint(eager=True)

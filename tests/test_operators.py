@@ -243,3 +243,26 @@ def test_vocabulary(spark):
     assert out[2:] == [(2, chr(983_040), -2.0), (3, chr(983_041), -3.0), (4, "", -4.0), (5, "", -5.0)]
     assert (vocabulary.padding_rows(128), vocabulary.padding_rows(129)) == (0, 127)
     assert vocabulary.embedding_rows(np.zeros(2), np.eye(2), 3).shape == (3, 2)
+
+
+def test_split_join_of_hot_keys_equals_a_plain_join(spark):
+    many = spark.createDataFrame([(k % 3 if k % 5 else None, k % 2, k) for k in range(200)], "a int, b int, v int")
+    few = spark.createDataFrame([(a, b, f"{a}{b}") for a in (0, 1) for b in (0, 1)] + [(0, 0, "again"), (7, 0, "none")], "a int, b int, w string")
+    sizes = many.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    for how in ("inner", "left"):
+        plain = sorted(map(str, many.join(few, ["a", "b"], how).collect()))
+        for extra in ({}, {"sizes": sizes}, {"most": 1000}, {"most": 5}):
+            assert sorted(map(str, joins.split_join(many, few, ["a", "b"], ["v"], how, key_rows=7, **extra).collect())) == plain
+    empty = many.limit(0)
+    assert joins.split_join(empty, few, ["a", "b"], ["v"], key_rows=7).count() == 0
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusloom.session import checkpointed
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="shared|share"):
+        checkpointed(SimpleNamespace(sparkSession=session))
