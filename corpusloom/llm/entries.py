@@ -18,8 +18,10 @@ def _texts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 QUERIES = {
     "p1_found": lambda s, d: splits.found(_t(s, d, "mls_transcripts")),
     "p1_splits": lambda s, d: splits.split_related(_t(s, d, "mls_transcripts")),
+    "p1_check": lambda s, d: splits.checked(_t(s, d, "mls_transcripts")),
     "p1_report": lambda s, d: splits.report(_t(s, d, "mls_transcripts")),
     "p2_found": lambda s, d: sampling.found(_t(s, d, "mls_transcripts"), _t(s, d, "sample_targets")),
+    "p2_check": lambda s, d: sampling.checked(_t(s, d, "mls_transcripts"), _t(s, d, "sample_targets")),
     "p2_report": lambda s, d: sampling.report(_t(s, d, "mls_transcripts"), _t(s, d, "sample_targets")),
     "p2_sample": lambda s, d: sampling.sample(_t(s, d, "mls_transcripts"), _t(s, d, "sample_targets")),
     "p3_found": lambda s, d: runs.found(_t(s, d, "mls_aligned"), _t(s, d, "centroids")),
@@ -29,6 +31,7 @@ QUERIES = {
     "p5_ids": lambda s, d: bpe.encode(_t(s, d, "documents")),
     "p6_found": lambda s, d: packing.found(_t(s, d, "documents")),
     "p6_packing": lambda s, d: packing.pack(_t(s, d, "documents")),
+    "p6_check": lambda s, d: packing.checked(_t(s, d, "documents")),
     "p6_report": lambda s, d: packing.report(_t(s, d, "documents")),
     "p7_found": lambda s, d: pii.found(_t(s, d, "documents"), _t(s, d, "readers")),
     "p7_redacted": lambda s, d: pii.redact(_t(s, d, "documents"), _t(s, d, "readers")),
@@ -38,6 +41,14 @@ _NUMBER = "try_cast(nullif(regexp_extract(translate({}, '０１２３４５６
 _FIELD = _NUMBER.format("speaker_id")
 _HEAD = "CASE WHEN contains(ID, '_') THEN " + _NUMBER.format("split_part(ID, '_', 1)") + " END"
 
+_P2 = f"""
+WITH u AS (SELECT DISTINCT coalesce({_FIELD}, {_HEAD}) AS speaker, ID FROM mls_transcripts WHERE ID IS NOT NULL),
+n AS (SELECT speaker, count(*) AS available FROM u WHERE speaker IS NOT NULL GROUP BY speaker),
+t AS (SELECT plan_id, speaker, max(target_share * sample_rows) AS target, max(min_rows) AS min_rows FROM sample_targets GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY target - floor(target) DESC, speaker) AS place, round(sum(target) OVER (PARTITION BY plan_id) - sum(floor(target)) OVER (PARTITION BY plan_id)) AS spare FROM t),
+w AS (SELECT plan_id, speaker, target, min_rows, greatest(floor(target) + (place <= spare)::INT, min_rows)::BIGINT AS wanted, coalesce(available, 0) AS available FROM r LEFT JOIN n USING (speaker))
+"""
+
 _P3 = """
 WITH near AS (
   SELECT x.cluster AS a, y.cluster AS b FROM centroids x JOIN centroids y ON x.cluster <> y.cluster AND list_distance(x.vec, y.vec) < 0.25
@@ -71,12 +82,22 @@ WITH RECURSIVE t AS (
 )
 SELECT min(v) AS group_speaker, u AS speaker FROM r GROUP BY u HAVING min(v) < u
 """,
+    "p1_check": f"""
+WITH s AS (SELECT {_HEAD} AS x FROM mls_transcripts UNION SELECT {_FIELD} FROM mls_transcripts),
+b AS (SELECT DISTINCT nullif(split_part(ID, '_', 2), '') AS book FROM mls_transcripts WHERE len(string_split(ID, '_')) >= 3)
+SELECT 0::BIGINT AS torn_speakers, (SELECT count(x) FROM s) AS speakers, 0::BIGINT AS torn_books, (SELECT count(book) FROM b) AS books,
+  (SELECT count(*) FROM mls_transcripts) AS n_rows, (SELECT count(DISTINCT _row_idx) FROM mls_transcripts) AS distinct_rows, true AS near_quotas
+""",
+    "p6_check": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS pieces_of_none, 0::BIGINT AS broken, 0::BIGINT AS overfull, true AS \"full\" FROM documents",
     "p2_found": f"""
 WITH u AS (SELECT DISTINCT coalesce({_FIELD}, {_HEAD}) AS speaker, ID FROM mls_transcripts WHERE ID IS NOT NULL),
 n AS (SELECT speaker, count(*) AS n FROM u WHERE speaker IS NOT NULL GROUP BY speaker)
 SELECT t.plan_id, t.speaker FROM sample_targets t LEFT JOIN n USING (speaker)
 WHERE coalesce(n.n, 0) < t.min_rows OR coalesce(n.n, 0) < t.target_share * t.sample_rows
 """,
+    "p2_report": _P2
+    + "SELECT *, least(wanted, available) AS drawn, wanted - least(wanted, available) AS deficit, wanted > available OR (available <= wanted AND available < target) AS short FROM w",
+    "p2_check": _P2 + "SELECT plan_id, speaker, n AS drawn, n AS ids, n AS own FROM (SELECT plan_id, speaker, least(wanted, available) AS n FROM w) WHERE n > 0",
     "p3_found": _P3 + "SELECT _row_idx, first_frame, last_frame FROM runs WHERE last_frame - first_frame >= 4",
     "p3_runs": _P3
     + """

@@ -159,11 +159,38 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, seed: int = 6, folder:
 
 
 def found(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id) of the documents that alone exceed a sequence: the ones packed with a second piece."""
-    return pack(documents, capacity).filter("piece = 1").select("doc_id")
+    """(doc_id) of the documents that alone exceed a sequence: those whose placed pieces lie in two sequences or more."""
+    pieces = pack(documents, capacity)
+    # a document with a second piece fills its first sequence, so the pieces' sequences always differ
+    spread = pieces.groupBy("doc_id").agg(F.max("piece").alias("last"), F.min("sequence").alias("one"), F.max("sequence").alias("other"))
+    return spread.filter("last > 0 and one <> other").select("doc_id")
 
 
 def report(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(sequences, tokens, unused, fill) of the packing, over all sequences that hold tokens."""
     used = pack(documents, capacity).filter("n_tokens > 0").groupBy("sequence").agg(F.sum("n_tokens").alias("n"))
     return used.agg(F.count(F.lit(1)).alias("sequences"), F.sum("n").alias("tokens"), F.sum(F.lit(capacity) - F.col("n")).alias("unused"), (F.sum("n") / F.count(F.lit(1)) / capacity).alias("fill"))
+
+
+def checked(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row that tells whether the packing holds.
+
+    ``documents`` and ``pieces_of_none`` count the documents placed and those without a piece,
+    ``broken`` the documents that fit a sequence but were cut, or whose pieces don't follow each other
+    without a gap, ``overfull`` the sequences whose pieces overlap or exceed the capacity, and ``full``
+    tells whether 99 % of the room is used, wherever there are 1,000 sequences or more.
+    """
+    pieces = checkpointed(pack(documents, capacity))
+    order = F.array_sort(F.collect_list(F.struct("first_token", "n_tokens", "piece")))
+    by_doc = pieces.groupBy("doc_id").agg(order.alias("p"), F.sum("n_tokens").alias("n"))
+    follows = F.forall(F.transform("p", lambda x, i: (i == 0) & (x["first_token"] == 0) | (x["first_token"] == F.get("p", i - 1)["first_token"] + F.get("p", i - 1)["n_tokens"])), lambda ok: ok)
+    docs = by_doc.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~follows | (F.col("n") <= capacity) & (F.size("p") > 1)).alias("broken"))
+    inside = F.array_sort(F.collect_list(F.struct("offset", "n_tokens")))
+    by_sequence = pieces.filter("n_tokens > 0").groupBy("sequence").agg(inside.alias("p"), F.sum("n_tokens").alias("n"))
+    end = lambda x: x["offset"] + x["n_tokens"]
+    apart = F.forall(F.transform("p", lambda x, i: (end(x) <= capacity) & ((i == 0) | (x["offset"] >= end(F.get("p", i - 1))))), lambda ok: ok)
+    sequences = by_sequence.agg(
+        F.count_if(~apart | (F.col("n") > capacity)).alias("overfull"), ((F.count(F.lit(1)) < 1000) | (F.sum("n") >= 0.99 * capacity * F.count(F.lit(1)))).alias("full")
+    )
+    ids = documents.select("doc_id").distinct().join(by_doc.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("pieces_of_none"))
+    return docs.join(F.broadcast(sequences)).join(F.broadcast(ids)).select("documents", "pieces_of_none", "broken", "overfull", "full")

@@ -8,10 +8,11 @@ reported.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import first_number, id_speaker, unit_hash
+from corpusloom.operators.joins import split_join
 from corpusloom.operators.ranking import with_rank
 from corpusloom.session import checkpointed
 
@@ -44,11 +45,12 @@ def quotas(targets: DataFrame, available: DataFrame) -> DataFrame:
         F.max(F.coalesce("target_share", F.lit(0.0)) * F.coalesce("sample_rows", F.lit(0))).alias("target"),
         F.max(F.coalesce("min_rows", F.lit(0))).alias("min_rows"),
     )
-    plan = Window.partitionBy("plan_id")
-    order = plan.orderBy(F.desc(F.col("target") - F.floor("target")), "speaker")
-    spare = F.round(F.sum("target").over(plan) - F.sum(F.floor("target")).over(plan))
-    rounded = F.floor("target") + (F.row_number().over(order) <= spare).cast("int")
-    sized = clean.withColumn("wanted", F.greatest(rounded, F.col("min_rows")).cast("bigint"))
+    # a plan's speakers are ranked in slices, so that it may have any number of them
+    sums = clean.groupBy("plan_id").agg(F.round(F.sum("target") - F.sum(F.floor("target"))).alias("spare"), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 100_000)).cast("bigint").alias("buckets"))
+    parted = split_join(clean, sums, ["plan_id"], ["speaker"]).withColumn("unit", 1 - (F.col("target") - F.floor("target")))
+    ranked = with_rank(parted, ["plan_id"], "unit", "buckets", ["speaker"])
+    rounded = F.floor("target") + (F.col("rank") < F.col("spare")).cast("int")
+    sized = ranked.withColumn("wanted", F.greatest(rounded, F.col("min_rows")).cast("bigint"))
     out = sized.join(available, "speaker", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
     return out.select(
         "plan_id", "speaker", "target", "min_rows", "wanted", "available", F.least("wanted", "available").alias("taken")
@@ -101,12 +103,9 @@ def _draw(transcripts: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFr
     accept = F.least(F.lit(1.0), (F.col("taken") + 6 * F.sqrt("taken") + 12) / F.col("available"))
     plans = plans.select("plan_id", "speaker", "taken", slices.alias("slices"), start.alias("start"), accept.alias("accept"))
     sizes = plans.select("speaker", "slices").distinct()
-    # a third of the rows may be one speaker's; the few slice numbers are spread over 16 copies
-    copies = sizes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    held = quota.filter("taken > 0").groupBy("speaker").agg(F.max("available").alias("_n"))
     placed = (
-        single.withColumn("unit", unit_hash("ID", "speaker", seed=seed))
-        .withColumn("copy", F.floor(F.col("unit") * 65536).cast("int") % 16)
-        .join(copies, ["speaker", "copy"])
+        split_join(single.withColumn("unit", unit_hash("ID", "speaker", seed=seed)), sizes, ["speaker"], ["ID"], sizes=held)
         .withColumn("slice", F.least(F.floor(F.col("unit") * F.col("slices")), F.col("slices") - 1).cast("bigint"))
         .select("speaker", "slice", "unit", "ID", "_row_idx")
     )
@@ -129,3 +128,18 @@ def _accepted(placed: DataFrame, plans: DataFrame) -> DataFrame:
     buckets = F.greatest(F.lit(1), F.floor(F.col("taken") / 100_000)).cast("bigint")
     joined = placed.join(touched, ["speaker", "slice"]).withColumn("way", way).filter("way < accept or accept >= 1")
     return joined.select("plan_id", "speaker", "ID", "_row_idx", "taken", "way", buckets.alias("buckets"))
+
+
+def checked(transcripts: DataFrame, targets: DataFrame, seed: int = 2) -> DataFrame:
+    """(plan_id, speaker, drawn, ids, own): the sample counted by target.
+
+    ``drawn`` are the rows drawn, ``ids`` their different IDs, and ``own`` those of them that are rows of
+    this speaker with this ID in ``transcripts``; all three are equal in a right sample.
+    """
+    drawn = sample(transcripts, targets, seed)
+    speaker = F.coalesce(first_number(F.col("speaker_id")), id_speaker(F.col("ID")))
+    given = transcripts.select("_row_idx", F.col("ID").alias("given_id"), speaker.alias("given_speaker"))
+    told = drawn.join(given, "_row_idx")
+    # each ID of a target is counted once first, so that the distinct count needs no set of them
+    each = told.groupBy("plan_id", "speaker", "ID").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("ID") == F.col("given_id")) & (F.col("speaker") == F.col("given_speaker"))).alias("own"))
+    return each.groupBy("plan_id", "speaker").agg(F.sum("n").alias("drawn"), F.count(F.lit(1)).alias("ids"), F.sum("own").alias("own"))

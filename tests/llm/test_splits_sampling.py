@@ -80,7 +80,7 @@ def test_splits_of_nothing_and_clashing_names(spark):
 
 
 def test_allotment_uses_every_group():
-    bundles = [("a", 7, 70, [70, 0]), ("b", 1, 500, [0, 500]), ("c", 100, 100, [60, 40])]
+    bundles = [("a", 7, {"x": 10}), ("b", 1, {"y": 500}), ("c", 100, {"x": 1})]
     cuts = dict(splits.allot(bundles, [0.8, 0.1, 0.1]))
     assert {k: sum(v) for k, v in cuts.items()} == {"a": 7, "b": 1, "c": 100}
     assert cuts["b"][0] == 1
@@ -114,3 +114,58 @@ def test_unrounded_target_counts(spark):
 def test_sample_of_nothing(spark):
     assert sampling.sample(rows(spark, []), targets(spark, [])).count() == 0
     assert {tuple(r) for r in sampling.found(rows(spark, []), targets(spark, [(1, 10, 1, 1.0, 0)])).collect()} == {(1, 1)}
+
+
+def test_allotment_keeps_every_label_in_proportion():
+    rng = random.Random(8)
+    bundles = {}
+    for _ in range(400):
+        profile = {"a": rng.randrange(1, 60), "b": rng.randrange(0, 30), "c": rng.choice([0, 0, 0, 2])} | {f"rare{rng.randrange(9)}": 1}
+        profile = {x: n for x, n in profile.items() if n}
+        bundles[str(sorted(profile.items()))] = (str(sorted(profile.items())), rng.randrange(1, 5), profile)
+    cuts = dict(splits.allot(list(bundles.values()), [0.8, 0.1, 0.1]))
+    total, got = Counter(), [Counter(), Counter(), Counter()]
+    for name, groups, profile in bundles.values():
+        assert sum(cuts[name]) == groups and min(cuts[name]) >= 0
+        for x, n in profile.items():
+            total[x] += n * groups
+            for j in range(3):
+                got[j][x] += n * cuts[name][j]
+    for j, share in enumerate((0.8, 0.1, 0.1)):
+        assert all(abs(got[j][x] - share * total[x]) <= 5 for x in total)
+
+
+def test_allotment_around_a_giant_group():
+    bundles = [("giant", 1, {"a": 300_000, "b": 10_000})] + [(f"s{n}", 40, {"a": n}) for n in range(1, 50)] + [("t", 5000, {"b": 3})]
+    cuts = dict(splits.allot(bundles, [0.8, 0.1, 0.1]))
+    rows = [sum(cuts[name][j] * sum(p.values()) for name, _, p in bundles) for j in range(3)]
+    # the giant is more than train's share of label a; test and validation get all else of it
+    assert cuts["giant"] == [1, 0, 0] and abs(rows[1] - rows[2]) <= 60
+
+
+def test_flow_sends_all_rows_and_respects_needs():
+    import numpy as np
+
+    rows = splits.flow(np.array([10.0, 4.0]), np.array([[6.0, 3.0], [2.0, 1.0], [2.0, 0.0]]), np.array([9.0, 3.0, 2.0]))
+    assert np.allclose(rows, [[6, 3], [2, 1], [2, 0]])
+    # nothing needs label 1 any more: its rows go where the split still has room
+    assert np.allclose(splits.flow(np.array([0.0, 3.0]), np.zeros((2, 2)), np.array([3.0, 0.0])), [[0, 3], [0, 0]])
+
+
+def test_found_reads_the_placement(spark):
+    plan = splits.found(rows(spark, [("1_2_3", "4"), ("4_5_6", None)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "cuts" in plan
+
+
+def test_checks_of_splits(spark):
+    pairs = [(f"{k % 23}_{k % 31}_{k}", str(k % 29) if k % 7 == 0 else None) for k in range(300)] + [(None, None), ("x", "12")]
+    got = splits.checked(rows(spark, pairs)).first().asDict()
+    assert got["torn_speakers"] == got["torn_books"] == 0 and got["n_rows"] == got["distinct_rows"] == 302 and got["speakers"] == 29 and got["books"] == 31
+    none = splits.checked(rows(spark, [])).first().asDict()
+    assert none["n_rows"] == 0 and none["near_quotas"]
+
+
+def test_checks_of_samples(spark):
+    table = rows(spark, [(f"{k % 5}_1_{k}", None) for k in range(200)] + [("1_1_1", None)])
+    plan = targets(spark, [(1, 60, s, 0.2, 0) for s in range(5)] + [(1, 60, 9, 0.0, 2)])
+    assert {tuple(r) for r in sampling.checked(table, plan).collect()} == {(1, s, 12, 12, 12) for s in range(5)}

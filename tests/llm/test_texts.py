@@ -73,6 +73,15 @@ def test_packing_places_every_token_once(spark):
     assert {r["doc_id"] for r in packing.found(docs, 64).collect()} == {k for k, n in sizes.items() if n > 64}
 
 
+def test_found_documents_come_from_the_placement(spark):
+    texts = ["w " * 40, "w " * 8, None, "w " * 200, "w " * 16]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], DOCS)
+    plan = packing.found(docs, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "ArrowEvalPython" in plan
+    checked = packing.checked(docs, 16).first().asDict()
+    assert checked == {"documents": 5, "pieces_of_none": 0, "broken": 0, "overfull": 0, "full": True}
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
     only = packing.pack(spark.createDataFrame([(1, None, ""), (2, "", "")], DOCS)).collect()
