@@ -5,27 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.constants import DOWNSAMPLING, FRAMES_PER_SECOND, MAX_UNIT, PUA_FIRST, PUA_LAST, SAMPLE_RATE, VOCABULARY_MULTIPLE
+from corpusloom.constants import DOWNSAMPLING, FRAMES_PER_SECOND, PUA_FIRST, PUA_LAST, SAMPLE_RATE, VOCABULARY_MULTIPLE
 
 
-def _utf8(unit: Column) -> Column:
-    """The four UTF-8 bytes of a unit's code point as hex digits."""
-    cp = unit.cast("bigint") + PUA_FIRST
-    part = lambda shift: F.lit(0x80) + F.shiftright(cp, shift).bitwiseAND(F.lit(0x3F))
-    lead = F.lit(0xF0) + F.shiftright(cp, 18)
-    return F.hex(((lead * 256 + part(12)) * 256 + part(6)) * 256 + part(0))
+def _characters() -> Column:
+    """All private-use characters in order: one literal, which the optimizer splits once for the plan."""
+    return F.split(F.lit("".join(map(chr, range(PUA_FIRST, PUA_LAST + 1)))), "")
 
 
-def units_to_pua(units: Column) -> Column:
-    """An array of units as one string of private-use characters; decoded once for the whole array."""
-    return F.unhex(F.array_join(F.transform(units, _utf8), "")).cast("string")
+def unit_to_pua(unit: Column) -> Column:
+    """One unit as a private-use character, looked up by position; units outside 0..65,533 raise, null stays null."""
+    wrong = F.raise_error(F.concat(F.lit("no private-use character for unit "), unit.cast("string"))).cast("string")
+    return F.coalesce(F.get(_characters(), unit), F.when(unit.isNotNull(), wrong))
 
 
-def unit_to_pua(unit: Column) -> Column:
-    """One unit as a private-use character; units outside 0..65,533 raise."""
-    inside = (unit >= 0) & (unit <= MAX_UNIT)
-    checked = F.when(unit.isNull() | inside, unit).otherwise(F.raise_error(F.concat(F.lit("no private-use character for unit "), unit.cast("string"))).cast("int"))
-    return F.unhex(_utf8(checked)).cast("string")
+def units_to_pua(units: Column) -> Column:
+    """An array of units as one string of private-use characters; units outside 0..65,533 raise, null ones are left out."""
+    return F.array_join(F.transform(units, unit_to_pua), "")
 
 
 def pua_to_unit(text: Column) -> Column:

@@ -10,24 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.constants import BLANK
+from corpusloom.functions.lists import merge_repeats
 
 SEGMENT = "struct<label:string,start:int,end:int>"
 #: Rows aligned together, and frames x states of them that are held; a row beyond that is aligned alone.
 ROWS_AT_ONCE, STATES_AT_ONCE = 64, 40_000_000
 
 
-def merge_repeats(path: Column) -> Column:
-    """Runs of equal labels of an array as (label, start, end) with inclusive ends, within the row."""
-    n = F.size(path)
-    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.get(path, i).eqNullSafe(F.get(path, i - 1)))
-    # both lists stand outside the lambda, so each is computed once
-    untils = F.concat(F.slice(begins, 2, n), F.array(n))
-    runs = F.zip_with(begins, untils, lambda s, u: F.struct(F.get(path, s).cast("string").alias("label"), s.alias("start"), (u - 1).alias("end")))
-    return F.when(n > 0, runs).when(n == 0, F.array().cast(f"array<{SEGMENT}>"))
-
-
 def merge_repeats_long(frames: DataFrame, key: str, position: str, label: str, slice_rows: int = 100_000) -> DataFrame:
-    """The same for a frame table (key, position, label): one row (key, label, start, end) for each run.
+    """``merge_repeats`` for a frame table (key, position, label): one row (key, label, start, end) for each run.
 
     A key's frames are compared in slices of positions, and a small table with one row for each
     slice carries the last label, the last position and the next start over the slices' edges; so a
@@ -221,3 +212,6 @@ def align(df: DataFrame, key: str, emissions: str, targets: str, blank: int = 0,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int32())), pa.array(errors, pa.string())], names=[key, "path", "error"])
 
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, path array<int>, error string")
+
+
+__all__ = ["SEGMENT", "align", "merge_repeats", "merge_repeats_long", "span_times", "viterbi", "with_token_spans"]

@@ -26,10 +26,10 @@ def split_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], ho
     if most is not None and most <= key_rows:
         return many.join(few, on, how)
     counted = (sizes or many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))).filter(F.col("_n") > key_rows)
-    hot = counted.select(*on, F.ceil(F.col("_n") / key_rows).cast("int").alias("_copies")).filter(" and ".join(f"`{c}` is not null" for c in on)).collect()
-    if not hot:
+    counted = counted.select(*on, F.ceil(F.col("_n") / key_rows).cast("int").alias("_copies")).filter(" and ".join(f"`{c}` is not null" for c in on))
+    if not (hot := counted.collect()):
         return many.join(few, on, how)
-    copies = F.broadcast(many.sparkSession.createDataFrame(hot, counted.select(*on).schema.add("_copies", "int")))
+    copies = F.broadcast(many.sparkSession.createDataFrame(hot, counted.schema))
     dealt = many.join(copies, on, "left").withColumn("_copy", F.pmod(F.xxhash64(*by), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
     copied = few.join(copies, on, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
     return dealt.join(copied, [*on, "_copy"], how).drop("_copy")

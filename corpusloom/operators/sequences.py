@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def unflatten(values: Column, lengths: Column) -> Column:
-    """``values`` cut into pieces of ``lengths``; lengths that don't add up raise."""
-    total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
-    pieces = F.transform(lengths, lambda n, i: F.slice(values, F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + 1, n))
-    return F.when(total == F.size(values), pieces).otherwise(F.when(values.isNull() | lengths.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("the lengths don't add up"))))
+from corpusloom.functions.lists import unflatten
 
 
 def padded(values: Column, length: Column, fill: float = 0.0) -> Column:
@@ -27,3 +22,6 @@ def mono(channels: Column) -> Column:
 def truncated(values: Column, seconds: float, rate: int) -> Column:
     """At most so many seconds of samples."""
     return F.slice(values, 1, int(seconds * rate))
+
+
+__all__ = ["mono", "padded", "truncated", "unflatten"]

@@ -1,36 +1,20 @@
 """Text interleaved with speech units.
 
-All of it is Catalyst expressions on one row: no shuffle and no Python.
+Catalyst expressions on one row, without a shuffle; only the spans' boundaries, which depend on nothing
+but a row's number of tokens, are drawn in Arrow batches.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.constants import ENDS, ROW, SEED, SPAN_SHARE, SPAN_TOKENS, SPEECH_MARK, SPEECH_TOKENS, STARTS, TEXT_KEY, TEXT_MARK, TOKENIZED
+from corpusloom.constants import ENDS, ROW, SEED, SPEECH_MARK, SPEECH_TOKENS, STARTS, TEXT_KEY, TEXT_MARK, TOKENIZED
+from corpusloom.functions.lists import boundaries, span_boundaries
 from corpusloom.functions.units import units_to_pua, without_repeats
 from corpusloom.operators.joins import units_of_span
 
 
-@cache
-def boundaries(below: int, n: int = SPAN_TOKENS, p: float = SPAN_SHARE, seed: int = SEED) -> tuple[int, ...]:
-    """The inner boundaries of spans below a length. Every row draws the same sequence, so one serves all."""
-    if below <= 0:
-        return ()
-    drawn = np.maximum(np.random.default_rng(seed).binomial(n, p, size=below), 1).cumsum()
-    return tuple(int(x) for x in drawn[drawn < below])
-
-
-def span_boundaries(length: Column, inner: tuple[int, ...]) -> Column:
-    """0, the inner boundaries below ``length``, ``length``."""
-    known = F.array(*map(F.lit, inner)) if inner else F.array().cast("array<int>")
-    return F.concat(F.array(F.lit(0)), F.filter(known, lambda b: b < length), F.array(length))
-
-
 def interleave(aligned: DataFrame, marks: bool = True, dedup: bool = True, seed: int = SEED) -> DataFrame:
     """(_row_idx, text, error): spans of text and of speech in turn.
 
@@ -39,9 +23,8 @@ def interleave(aligned: DataFrame, marks: bool = True, dedup: bool = True, seed:
     their number is odd), without speech tokens or with arrays of different lengths have an error and
     no text. Other columns are ignored.
     """
-    longest = aligned.agg(F.max(F.size(TOKENIZED))).first()[0] or 0
     tokens, units = F.col(TOKENIZED), F.col(SPEECH_TOKENS)
-    bounds = span_boundaries(F.size(tokens), boundaries(longest, seed=seed))
+    bounds = span_boundaries(F.size(tokens), seed)
     rows = aligned.select(ROW, tokens, units, STARTS, ENDS).withColumn("_bounds", bounds)
     even = F.pmod(F.col(ROW), F.lit(2)) == 0
 
@@ -67,3 +50,6 @@ def interleave(aligned: DataFrame, marks: bool = True, dedup: bool = True, seed:
     # the units are cut first, so that the lambda over them sees a value and not the cutting
     spans = F.transform(F.transform(F.sequence(F.lit(0), F.size("_bounds") - 2), part), span)
     return rows.withColumn("error", error).select(ROW, F.when(F.col("error").isNull(), F.array_join(spans, " ")).alias(TEXT_KEY), "error")
+
+
+__all__ = ["boundaries", "interleave", "span_boundaries"]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import units
 from corpusloom.operators import align, cluster, filters, joins, projections, sampling, sequences, stats
 from corpusloom.plans import interleave, pipeline, vocabulary
 
@@ -145,8 +146,8 @@ def test_sizes_shards_and_ranges(spark):
 
 
 def test_span_boundaries(spark):
-    assert interleave.boundaries(60) == (4, 11, 16, 21, 25, 28, 31, 37, 47, 53, 58, 59)
-    b = spark.range(1).select(interleave.span_boundaries(F.lit(10), interleave.boundaries(10)).alias("b"), interleave.span_boundaries(F.lit(1), ()).alias("c")).first()
+    assert tuple(interleave.boundaries(60)) == (4, 11, 16, 21, 25, 28, 31, 37, 47, 53, 58, 59)
+    b = spark.range(1).select(interleave.span_boundaries(F.lit(10)).alias("b"), interleave.span_boundaries(F.lit(1)).alias("c")).first()
     assert b["b"] == [0, 4, 10] and b["c"] == [0, 1]
 
 
@@ -266,3 +267,23 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(RuntimeError, match="shared|share"):
         checkpointed(SimpleNamespace(sparkSession=session))
+
+
+def test_boundaries_of_rows_of_any_length(spark):
+    got = spark.createDataFrame([(n,) for n in (0, 1, 4, 5, 60, None, 100_000)], "n int").select("n", interleave.span_boundaries(F.col("n")).alias("b")).collect()
+    for n, b in got:
+        assert b is None if n is None else b == [0, *[int(x) for x in interleave.boundaries(n)], n]
+
+
+def test_units_outside_the_private_range_raise(spark):
+    df = lambda x: spark.createDataFrame([(x,)], "u array<int>").select(units.units_to_pua(F.col("u")).alias("p"))
+    assert df([0, 65_533, None, 7]).first()["p"] == chr(983_040) + chr(1_048_573) + chr(983_047) and df(None).first()["p"] is None and df([]).first()["p"] == ""
+    for wrong in (65_534, -1, -5, 2**31 - 1):
+        with pytest.raises(Exception, match="no private-use character"):
+            df([1, wrong]).collect()
+
+
+def test_runs_of_nulls_and_strings(spark):
+    df = spark.createDataFrame([(0, ["a", None, None, "a", "a"]), (1, []), (2, None), (3, ["a"])], "k int, p array<string>")
+    got = {r["k"]: r["m"] and [tuple(x) for x in r["m"]] for r in df.select("k", align.merge_repeats(F.col("p")).alias("m")).collect()}
+    assert got == {0: [("a", 0, 0), (None, 1, 2), ("a", 3, 4)], 1: [], 2: None, 3: [("a", 0, 0)]}
