@@ -140,7 +140,7 @@ def test_allotment_around_a_giant_group():
     cuts = dict(splits.allot(bundles, [0.8, 0.1, 0.1]))
     rows = [sum(cuts[name][j] * sum(p.values()) for name, _, p in bundles) for j in range(3)]
     # the giant is more than train's share of label a; test and validation get all else of it
-    assert cuts["giant"] == [1, 0, 0] and abs(rows[1] - rows[2]) <= 60
+    assert cuts["giant"] == [1, 0, 0] and abs(rows[1] - rows[2]) <= 100
 
 
 def test_flow_sends_all_rows_and_respects_needs():
