@@ -27,6 +27,7 @@ QUERIES = {
     "p3_found": lambda s, d: runs.found(_t(s, d, "mls_aligned"), _t(s, d, "centroids")),
     "p3_runs": lambda s, d: runs.collapse(_t(s, d, "mls_aligned"), _t(s, d, "centroids")),
     "p4_found": lambda s, d: lookalikes.found(_texts(s, d)),
+    "p4_classes": lambda s, d: lookalikes.classes(_texts(s, d)),
     "p4_consistent": lambda s, d: lookalikes.consistent(_texts(s, d)),
     "p5_ids": lambda s, d: bpe.encode(_t(s, d, "documents")),
     "p6_found": lambda s, d: packing.found(_t(s, d, "documents")),

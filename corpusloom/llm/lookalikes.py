@@ -23,15 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import spread
+from corpusloom.operators.joins import split_join
 from corpusloom.session import checkpointed
 
-#: Look-alike letters, Latin first (fixed values; after Unicode's confusables data).
+#: Look-alike letters, Latin first (fixed values; after Unicode's confusables data). Digits are not among them: 0 and O,
+#: or 1 and l, differ visibly in common fonts, and a form that took one for the other would change numbers.
 CLASSES = (
-    "aаɑ", "cсϲ", "dԁ", "eе", "gɡց", "hһհ", "iі", "jјϳ", "lӏ", "nո", "oоοօ", "pрρ", "qԛ", "sѕ", "uսυ", "vνѵ", "wԝ", "xх", "yу", "zᴢ",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜ", "NΝ", "OОΟՕ", "PРΡ", "QԚ", "SЅՏ", "TТΤ", "UՍ", "VѴ", "WԜ", "XХΧ", "YҮΥ", "ZΖ",
+    "aаɑ", "cсϲᴄⲥ", "dԁ", "eе", "gɡց", "hһհ", "iі", "jјϳ", "lӏ", "nո", "oоοօᴏⲟ", "pрρⲣ", "qԛ", "sѕꜱ", "uսυᴜ", "vνѵᴠ", "wԝᴡ", "xх", "yуү", "zᴢ",
+    "AАΑⲀᎪꓮ", "BВΒⲂᏴꓐ", "CСϹⲤᏟꓚ", "DᎠꓓ", "EЕΕᎬꓰ", "FϜꓝ", "GԌᏀꓖ", "HНΗⲎᎻꓧ", "IІΙӀⲒꓲ", "JЈͿᎫꓙ", "KКΚⲔᏦꓗ", "LᏞꓡ", "MМΜⲘᎷꓟ", "NΝⲚꓠ", "OОΟՕⲞꓳ", "PРΡⲢᏢꓑ", "QԚ", "RᎡꓣ", "SЅՏᏚꓢ", "TТΤⲦᎢꓔ", "UՍꓴ", "VѴᏙꓦ", "WԜᎳꓪ", "XХΧⲬꓫ", "YҮΥⲨꓬ", "ZΖᏃꓜ",
 )
 #: Scripts whose letters are told apart; other letters count as one.
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "COPTIC", "CHEROKEE", "LISU")
+#: Letters that are symbols of their own, besides the look-alikes: the basic alphabets of four scripts.
+ALPHABETS = frozenset(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x391, 0x3CA), *range(0x400, 0x460), *range(0x531, 0x557), *range(0x561, 0x587)]))
 #: Log score lost for a change of script within a token, and for a spelling that never occurs.
 CHANGE, UNSEEN = 1000.0, 0.1
 #: A worker keeps the form of this many tokens.
@@ -77,9 +81,10 @@ def _script(c: str) -> str:
     return name if name in SCRIPTS else "OTHER"
 
 
+@lru_cache(maxsize=100_000)
 def _symbol(c: str) -> str:
-    """What the bigrams count: look-alikes by themselves, other letters by script, all else as one."""
-    return c if c in _MEMBERS else _script(c) or "-"
+    """What the bigrams count: look-alikes and letters of the alphabets by themselves, other letters by script, all else as one."""
+    return c if c in _MEMBERS or c in ALPHABETS else _script(c) or "-"
 
 
 def bigrams(tokens: Counter) -> Counter:
@@ -172,8 +177,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(tables: list[DataFrame]) -> dict[tuple[str, str], int]:
     """Bigram counts over all texts of the tables (single column each).
 
-    The symbols are bounded by the look-alike table and the scripts, so at most (some 150) squared
-    pairs come to the driver, whatever the size of the corpus.
+    The symbols are bounded by the look-alike table, the alphabets and the scripts, so at most (some 450)
+    squared pairs come to the driver, whatever the size of the corpus.
     """
     parts = [spread(t).mapInArrow(_count, "a string, b string, n bigint") for t in tables]
     union = parts[0]
@@ -204,13 +209,8 @@ def consistent(tables: dict[str, DataFrame], fields: dict[str, str] = FIELDS) ->
     return out
 
 
-def found(tables: dict[str, DataFrame], fields: dict[str, str] = FIELDS) -> DataFrame:
-    """(field, row_a, row_b): pairs of rows of one table that look the same but differ in characters.
-
-    Rows are keyed by digests of the form and of the text itself. Only forms with two texts or more
-    go on; their distinct texts are paired, and rows are joined to the pairs of texts, so that the
-    work is that of the pairs to be returned and copies of one text never meet each other.
-    """
+def _keyed(tables: dict[str, DataFrame], fields: dict[str, str]) -> DataFrame:
+    """(field, _row_idx, look, own): digests of each text's form and of the text itself; null for a null text."""
     rows = {fields[name]: _rows(t, fields[name]) for name, t in tables.items()}
     counts = learn([r.select("text") for r in rows.values()])
     digest = lambda s: hashlib.blake2b(s.encode(), digest_size=16).digest()
@@ -226,19 +226,46 @@ def found(tables: dict[str, DataFrame], fields: dict[str, str] = FIELDS) -> Data
     keyed = None
     for field, r in rows.items():
         part = spread(r).mapInArrow(key, f"_row_idx {r.schema['_row_idx'].dataType.simpleString()}, look binary, own binary")
-        part = part.filter("look is not null").select(F.lit(field).alias("field"), "_row_idx", "look", "own")
+        part = part.select(F.lit(field).alias("field"), "_row_idx", "look", "own")
         keyed = part if keyed is None else keyed.union(part)
-    keyed = checkpointed(keyed)
-    several = keyed.groupBy("field", "look").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least <> most").select("field", "look")
+    return checkpointed(keyed)
+
+
+def classes(tables: dict[str, DataFrame], fields: dict[str, str] = FIELDS) -> DataFrame:
+    """(field, _row_idx, look_class, n_rows, n_links): every row with its class of equal look.
+
+    ``look_class`` is the least ``_row_idx`` of the class, ``n_rows`` its size and ``n_links`` the rows of the
+    class whose characters differ from this row's. A row with a null text has no class and no links.
+    This is linear in the rows: copies are not expanded into pairs.
+    """
+    keyed = _keyed(tables, fields)
+    texts = checkpointed(keyed.filter("look is not null").groupBy("field", "look", "own").agg(F.count(F.lit(1)).alias("n"), F.min("_row_idx").alias("least")))
+    looks = texts.groupBy("field", "look").agg(F.sum("n").alias("n_rows"), F.min("least").alias("look_class"))
+    told = split_join(texts, looks, ["field", "look"], ["own"]).select("field", "own", "look_class", "n_rows", (F.col("n_rows") - F.col("n")).alias("n_links"))
+    sizes = texts.select("field", "own", F.col("n").alias("_n"))
+    out = split_join(keyed.filter("look is not null"), told, ["field", "own"], ["_row_idx"], sizes=sizes).select("field", "_row_idx", "look_class", "n_rows", "n_links")
+    none = keyed.filter("look is null").select("field", "_row_idx", F.lit(None).cast(out.schema["look_class"].dataType).alias("look_class"), F.lit(0).cast("bigint").alias("n_rows"), F.lit(0).cast("bigint").alias("n_links"))
+    return out.union(none)
+
+
+def found(tables: dict[str, DataFrame], fields: dict[str, str] = FIELDS) -> DataFrame:
+    """(field, row_a, row_b): pairs of rows of one table that look the same but differ in characters.
+
+    Rows are keyed by digests of the form and of the text itself. Only forms with two texts or more
+    go on; their distinct texts are paired, and rows are joined to the pairs of texts, so that the
+    work is that of the pairs to be returned and copies of one text never meet each other. The
+    pairs are what is asked for here; ``classes`` gives the same links in one row for each row.
+    """
+    keyed = _keyed(tables, fields).filter("look is not null")
+    several = keyed.groupBy("field", "look").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most")
+    # no key of the joins below has more rows than the largest of these looks
+    largest = several.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     varied = keyed.join(several, ["field", "look"], "left_semi")
     texts = varied.select("field", "look", "own").distinct()
     other = texts.withColumnRenamed("own", "own_b")
-    pairs = texts.withColumnRenamed("own", "own_a").join(other, ["field", "look"]).filter("own_a < own_b")
-    # a text repeated in very many rows is spread over 8 keys
-    salts = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    salt = F.pmod(F.xxhash64("_row_idx"), F.lit(8)).cast("int")
-    left = varied.select("field", F.col("own").alias("own_a"), F.col("_row_idx").alias("a"), salt.alias("salt"))
-    one = pairs.withColumn("salt", salts).join(left, ["field", "own_a", "salt"]).select("field", "own_b", "a", F.pmod(F.xxhash64("a"), F.lit(8)).cast("int").alias("salt"))
-    right = varied.select("field", F.col("own").alias("own_b"), F.col("_row_idx").alias("b")).withColumn("salt", salts)
-    both = one.join(right, ["field", "own_b", "salt"])
+    pairs = split_join(texts.withColumnRenamed("own", "own_a"), other, ["field", "look"], ["own_a"], most=largest).filter("own_a < own_b").select("field", "own_a", "own_b")
+    left = varied.select("field", F.col("own").alias("own_a"), F.col("_row_idx").alias("a"))
+    right = varied.select("field", F.col("own").alias("own_b"), F.col("_row_idx").alias("b"))
+    one = split_join(left, pairs, ["field", "own_a"], ["a"], most=largest).select("field", "own_b", "a")
+    both = split_join(one, right, ["field", "own_b"], ["a"], most=largest)
     return both.select("field", F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))

@@ -74,3 +74,21 @@ def test_long_and_empty(spark):
     out = lookalikes.consistent(tables(spark, [long, long], ["x"])).collect()
     assert {len(r["text"]) for r in out if r["field"] == "transcript"} == {len(long)}
     assert lookalikes.found(tables(spark, [])).count() == 0
+
+
+def test_classes_hold_the_links_of_the_pairs(spark):
+    rng = random.Random(9)
+    words = ["copper", "соpper", "cоppеr", "море", "мope", "ᏟᎪᎢ", "CAT", "ꓚꓮꓔ", "x0", "xO", None, ""]
+    texts = [rng.choice(words) for _ in range(80)]
+    links = {}
+    for _, a, b in lookalikes.found(tables(spark, texts)).collect():
+        links[a] = links.get(a, 0) + 1
+        links[b] = links.get(b, 0) + 1
+    rows = {r["_row_idx"]: r for r in lookalikes.classes(tables(spark, texts)).collect() if r["field"] == "transcript"}
+    assert len(rows) == 80 and all(rows[k]["n_links"] == links.get(k, 0) for k in rows)
+    for k, r in rows.items():
+        same = [j for j in rows if texts[k] is not None and rows[j]["look_class"] == r["look_class"]]
+        assert r["n_rows"] == len(same) and r["look_class"] == (min(same) if same else None)
+    # digits and letters differ visibly; capitals of other scripts don't
+    by_text = {t: rows[k]["look_class"] for k, t in enumerate(texts)}
+    assert by_text["x0"] != by_text["xO"] and by_text["ᏟᎪᎢ"] == by_text["CAT"] == by_text["ꓚꓮꓔ"]
