@@ -30,6 +30,7 @@ QUERIES = {
     "p4_classes": lambda s, d: lookalikes.classes(_texts(s, d)),
     "p4_consistent": lambda s, d: lookalikes.consistent(_texts(s, d)),
     "p5_ids": lambda s, d: bpe.encode(_t(s, d, "documents")),
+    "p5_round_trip": lambda s, d: bpe.decode(bpe.encode(_t(s, d, "documents"))),
     "p6_found": lambda s, d: packing.found(_t(s, d, "documents")),
     "p6_packing": lambda s, d: packing.pack(_t(s, d, "documents")),
     "p6_check": lambda s, d: packing.checked(_t(s, d, "documents")),
@@ -89,6 +90,7 @@ b AS (SELECT DISTINCT nullif(split_part(ID, '_', 2), '') AS book FROM mls_transc
 SELECT 0::BIGINT AS torn_speakers, (SELECT count(x) FROM s) AS speakers, 0::BIGINT AS torn_books, (SELECT count(book) FROM b) AS books,
   (SELECT count(*) FROM mls_transcripts) AS n_rows, (SELECT count(DISTINCT _row_idx) FROM mls_transcripts) AS distinct_rows, true AS near_quotas
 """,
+    "p5_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p6_check": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS pieces_of_none, 0::BIGINT AS broken, 0::BIGINT AS overfull, true AS \"full\" FROM documents",
     "p2_found": f"""
 WITH u AS (SELECT DISTINCT coalesce({_FIELD}, {_HEAD}) AS speaker, ID FROM mls_transcripts WHERE ID IS NOT NULL),

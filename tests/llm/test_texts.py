@@ -32,9 +32,41 @@ def test_very_long_text_and_forgotten_words(reference, monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN", 50)
     enc = bpe.Encoder(bpe.FOLDER, bpe.VOCABULARY)
     text = " ".join(f"word{k % 700}" for k in range(200_000))
-    assert list(next(enc.encode_batch([text]))) == reference(text)
-    many = [f"some text {k} of words {k * 7}" for k in range(300)]
-    assert [list(x) for x in enc.encode_batch(many)] == [reference(t) for t in many]
+    flat = lambda words: [x for ids in words for x in ids]
+    assert flat(next(enc.encode_batch([text]))) == reference(text)
+    many = [f"some text {k} of words {k * 7} {'z' * 70}{k}" for k in range(300)]
+    assert [flat(x) for x in enc.encode_batch(many)] == [reference(t) for t in many]
+
+
+def test_ways_for_long_words_and_texts_give_the_same_ids(monkeypatch):
+    enc = bpe.Encoder(bpe.FOLDER, bpe.VOCABULARY)
+    flat = lambda words: [x for ids in words for x in ids]
+    rng = random.Random(3)
+    texts = [None, "", "it's 'tis we'll 12 x", "".join(rng.choice("thequickabrown'. \x1c\t\n") for _ in range(3000)), "ab" * 400 + " ünd é́ 12\u00a0x", "\u2003 \x85 a"]
+    expected = [flat(x) for x in enc.encode_batch(texts)]
+    monkeypatch.setattr(bpe, "STEP_BYTES", 3)
+    assert [flat(x) for x in bpe.Encoder(bpe.FOLDER, bpe.VOCABULARY).encode_batch(texts)] == expected
+    monkeypatch.setattr(bpe, "LONG_TEXT", 5)
+    assert [flat(x) for x in bpe.Encoder(bpe.FOLDER, bpe.VOCABULARY).encode_batch(texts)] == expected
+    assert all(enc.ascii_word.findall(t) == enc.word.findall(t) for t in texts if t and t.isascii())
+    assert [enc.decode(x) for x in expected] == [t or "" for t in texts]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "x", "special": False}]}, {"model": {"type": "BPE", "dropout": 0.1}}])
+def test_tokenizer_files_of_another_kind_raise(tmp_path, change):
+    import json
+
+    whole = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+    (tmp_path / "good.json").write_text(json.dumps(whole))
+    assert bpe.read_model(str(tmp_path / "good.json"))["merges"] == []
+    (tmp_path / "other.json").write_text(json.dumps(whole | change))
+    with pytest.raises(ValueError, match="no plain byte-level BPE"):
+        bpe.read_model(str(tmp_path / "other.json"))
+
+
+def test_round_trip_on_tables(spark):
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], DOCS)
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs)).collect()} == {k: t or "" for k, t in enumerate(TEXTS)}
 
 
 def test_patterns_use_every_item_and_fill_well():
