@@ -6,6 +6,7 @@ positions one by one; here a batch is one vectorized pass. No value becomes a Py
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -35,6 +36,13 @@ def as_lists(lengths: np.ndarray, values: pa.Array, valid: pa.Array | None = Non
     return pa.ListArray.from_arrays(pa.array(offsets(lengths), pa.int32()), values, mask=mask)
 
 
+def each_distinct(lists: pa.Array, change: Callable[[str], str | None]) -> pa.Array:
+    """Lists of strings with every string changed, each different one once; nulls stay."""
+    found = lists.flatten().dictionary_encode()
+    new = pa.array([None if x is None else change(x) for x in found.dictionary.to_pylist()], pa.string())
+    return as_lists(sizes(lists), new.take(found.indices), lists.is_valid())
+
+
 def differs(values: pa.Array) -> np.ndarray:
     """For each flat value whether it differs from the one before; null equals null, and the first one differs."""
     out = np.ones(len(values), dtype=bool)

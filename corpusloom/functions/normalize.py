@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.lists import each_distinct
+
 # --- fixed values: character sets, as regular-expression ranges ---
 BASIC = r".?,:!{}\"<>;"
 QUOTES = "‘-‟«»‹›"
@@ -38,6 +40,8 @@ DELETED = "\u200b\u200c\u200e\u200f\u202a\u202c\u064b-\u0652\u0656\u0657"
 DIGITS = "0-9০-৯០-៩०-९୦-୯۰-۹꤀-꤉０-９൦-൯၀-၉ⅰ-ⅹ\u206f"
 #: Replacements for all languages, in this order; the last one also for other languages than Arabic.
 MAPPING = (("&lt;", ""), ("&gt;", ""), ("&nbsp", ""), ("(\\S+)[‛’‘](\\S+)", r"\1'\2"), ("ٱ", "ا"))
+#: Of each replacement the characters one of which its matches hold.
+NEEDED = ("&", "&", "&", "‛’‘", "ٱ")
 EXTRA_DELETED = {"mon": "\u00ad", "khk": "\u00ad", "heb": "\u05b0-\u05cf"}
 EXTRA_PUNCTUATION = {"tha": "\u200d"}
 WITHOUT_DIACRITICS = frozenset({"jav"})
@@ -50,6 +54,21 @@ def _steps(language: str) -> tuple:
     return punctuation, deleted, tuple((re.compile(a), b) for a, b in MAPPING), re.compile(f"[{DIGITS}]+")
 
 
+class _Replacements(dict):
+    """For ``str.translate``: what becomes of each character, found by the patterns when it is first met."""
+
+    def __init__(self, language: str) -> None:
+        self.punctuation, self.deleted, _, _ = _steps(language)
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = 32 if self.punctuation.match(c) else None if self.deleted.match(c) else code
+        return self[code]
+
+
+_replacements = cache(_Replacements)
+
+
 _NUMBERED, _BRACKETED = re.compile(r"\([^)]*\d[^)]*\)"), re.compile(r"\([^)]*\)")
 
 
@@ -57,14 +76,18 @@ def normalized(text: str | None, language: str = "eng", lower: bool = True, numb
     """``text`` normalized: see ``text_normalize``; null stays null."""
     if text is None:
         return None
-    punctuation, deleted, mapping, digits = _steps(language)
+    _, _, mapping, digits = _steps(language)
     text = unicodedata.normalize("NFKC", text)
-    text = _NUMBERED.sub(" ", text.lower() if lower else text)
-    if brackets:
-        text = _BRACKETED.sub(" ", text)
-    for pattern, new in mapping:
-        text = pattern.sub(new, text)
-    text = deleted.sub("", punctuation.sub(" ", text))
+    text = text.lower() if lower else text
+    if "(" in text:
+        text = _NUMBERED.sub(" ", text)
+        if brackets:
+            text = _BRACKETED.sub(" ", text)
+    for (pattern, new), needed in zip(mapping, NEEDED):
+        # most texts have none of the characters that a pattern needs
+        if any(c in text for c in needed):
+            text = pattern.sub(new, text)
+    text = text.translate(_replacements(language))
     if numbers:
         # a number goes where white space is on one side at least: all of them, but for a text that is nothing else
         parts = re.split(r"(\s+)", text)
@@ -75,32 +98,57 @@ def normalized(text: str | None, language: str = "eng", lower: bool = True, numb
     return " ".join(text.split())
 
 
+def _escaped(characters: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in characters)
+
+
+def _ascii_text(text: Column, language: str, lower: bool, numbers: bool, brackets: bool) -> Column:
+    """The same steps on ASCII text as Spark's own expressions: composition and the other scripts' characters play no part."""
+    punctuation, deleted, mapping, digits = _steps(language)
+    plain = [chr(c) for c in range(128)]
+    space = r"[\t-\r\x{1c}-\x{1f} ]"
+    text = F.regexp_replace(F.lower(text) if lower else text, r"\([^)]*[0-9][^)]*\)", " ")
+    if brackets:
+        text = F.regexp_replace(text, r"\([^)]*\)", " ")
+    for pattern, new in mapping:
+        if pattern.pattern.isascii():
+            text = F.regexp_replace(text, pattern.pattern, new)
+    text = F.regexp_replace(text, "[" + _escaped("".join(filter(punctuation.match, plain))) + "]", " ")
+    if gone := "".join(filter(deleted.match, plain)):
+        text = F.regexp_replace(text, f"[{_escaped(gone)}]", "")
+    words = F.split(text, space + "+")
+    number = "^[" + _escaped("".join(filter(digits.fullmatch, plain))) + "]+$"
+    kept = F.filter(words, lambda w: (w != "") & ~w.rlike(number)) if numbers else F.filter(words, lambda w: w != "")
+    # a text without white space is kept even if it is a number
+    return F.when(F.size(words) > 1, F.array_join(kept, " ")).otherwise(F.array_join(words, " "))
+
+
 def text_normalize(text: Column, language: str = "eng", lower: bool = True, numbers: bool = True, brackets: bool = False) -> Column:
     """Normalized text.
 
     Compatibility forms, lower case, brackets with digits out, mappings, punctuation to spaces,
     deletions, words of digits out (``numbers``; a text that is only a number stays), single spaces.
+    ASCII texts never leave the JVM; only the others are sent to Python, which has the Unicode forms.
     """
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: normalized(t, language, lower, numbers, brackets))
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([normalized(t, language, lower, numbers, brackets) for t in values.to_pylist()], pa.string())
 
-    return run(text)
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.coalesce(F.when(plain, _ascii_text(text, language, lower, numbers, brackets)), run(F.when(~plain, text)))
 
 
-def normalize_tokens(tokens: Column, language: str = "eng") -> Column:
-    """Each token of an array normalized by itself."""
+@lru_cache(maxsize=500_000)
+def normalized_token(token: str, language: str) -> str:
+    return normalized(token, language)
 
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        known: dict = {}
 
-        def one(token: str | None) -> str | None:
-            if token not in known:
-                known[token] = normalized(token, language)
-            return known[token]
+def normalize_tokens(tokens: Column, language: str = "eng") -> Column:
+    """Each token of an array normalized by itself; the different tokens of a batch once, and a worker keeps them."""
 
-        return values.map(lambda row: None if row is None else [one(t) for t in row])
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return each_distinct(lists, lambda t: normalized_token(t, language))
 
     return run(tokens)

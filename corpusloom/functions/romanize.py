@@ -12,13 +12,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cache, lru_cache
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.lists import each_distinct
+
 # --- fixed values: sounds of letter names ---
 CYRILLIC = {
     "A": "a", "BE": "b", "VE": "v", "GHE": "g", "GHE WITH UPTURN": "g", "DE": "d", "DJE": "dj", "GJE": "gj", "IE": "e", "IO": "yo", "UKRAINIAN IE": "ye", "ZHE": "zh", "ZE": "z", "DZE": "dz", "I": "i", "SHORT I": "y", "BYELORUSSIAN-UKRAINIAN I": "i", "YI": "yi", "JE": "j", "KA": "k", "KJE": "kj", "EL": "l", "LJE": "lj", "EM": "m", "EN": "n", "NJE": "nj", "O": "o", "PE": "p", "ER": "r", "ES": "s", "TE": "t", "TSHE": "ch", "U": "u", "SHORT U": "w", "EF": "f", "HA": "kh", "TSE": "ts", "CHE": "ch", "DZHE": "dzh", "SHA": "sh", "SHCHA": "shch", "HARD SIGN": "", "YERU": "y", "SOFT SIGN": "", "E": "e", "YU": "yu", "YA": "ya",
@@ -39,6 +42,8 @@ LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "
 ABUGIDAS = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA")
 #: Rule lines beyond this number are not sent to the workers.
 MAX_RULES = 2_000_000
+#: Words that a task keeps with their reading.
+KNOWN = 200_000
 #: Decompositions that change more than the shape and are not followed.
 NOT_FOLLOWED = ("<super>", "<sub>", "<noBreak>", "<compat>")
 KEEP_FINAL_A = frozenset({"san"})
@@ -277,36 +282,57 @@ def romanized_line(engine: Romanizer, line: str, language: str = "") -> str:
     return engine.romanize(line, language)
 
 
-def _worker(rules: list[str]):
-    engine = Romanizer().load(rules)
+def _reader(rules: list[str], language: str) -> Callable[[str], str]:
+    """Romanizes lines; the words of a line by themselves and each once, unless a rule covers a blank."""
+    engine = _builtin() if not rules else Romanizer().load(rules)
+    known: dict[str, str] = {}
+    whole = any(" " in source for source in engine.rules)
+
+    def word(text: str) -> str:
+        found = known.get(text)
+        if found is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            found = known[text] = engine.romanize(text, language)
+        return found
+
+    def line(text: str) -> str:
+        if text.startswith("::lcode"):
+            return romanized_line(engine, text, language)
+        if text.isascii() and not rules:
+            return text
+        return word(text) if whole else " ".join(map(word, text.split(" ")))
+
+    return line
 
-    @lru_cache(maxsize=200_000)
-    def one(text: str, language: str) -> str:
-        return romanized_line(engine, text, language)
 
-    return one
+@cache
+def _builtin() -> Romanizer:
+    return Romanizer()
 
 
 def romanize(text: Column, language: str = "", rules: list[str] | None = None) -> Column:
-    """The text in Latin letters; null stays null."""
+    """The text in Latin letters; null stays null. The rules are read once for all batches of a task."""
     given = list(rules or ())
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        one = _worker(given)
-        return values.map(lambda t: None if t is None else one(t, language))
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = _reader(given, language)
+        for values in batches:
+            yield pa.array([None if t is None else read(t) for t in values.to_pylist()], pa.string())
 
     return run(text)
 
 
 def romanize_tokens(tokens: Column, language: str = "", rules: list[str] | None = None) -> Column:
-    """Each token of an array romanized; repeated tokens are read once in a batch."""
+    """Each token of an array romanized; the different tokens of a batch are read once."""
     given = list(rules or ())
 
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        one = _worker(given)
-        return values.map(lambda row: None if row is None else [None if t is None else one(t, language) for t in row])
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = _reader(given, language)
+        for lists in batches:
+            yield each_distinct(lists, read)
 
     return run(tokens)
 

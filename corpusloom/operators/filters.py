@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.constants import MAX_AUDIO_S, ROW, SAMPLE_RATE
 from corpusloom.functions.text import is_garbage
+from corpusloom.operators.ranking import with_position
 
 
 def head(df: DataFrame, n: int, order: str = ROW) -> DataFrame:
     """The first ``n`` rows in manifest order; all rows for 0 or less."""
-    return df.filter(F.col(order) < n) if n > 0 else df
+    return with_position(df, order=order).filter(F.col("_position") < n).drop("_position") if n > 0 else df
 
 
 def existing(df: DataFrame, files: DataFrame, path: str = "path", n: int | None = None) -> DataFrame:
     """Rows whose ``path`` is in ``files``; optionally the first ``n`` of them in manifest order."""
     kept = df.join(files.select(F.col(path)), path, "left_semi").select(*df.columns)
-    return kept.orderBy(ROW).limit(n) if n is not None else kept
+    return kept if n is None else head(kept, n) if n > 0 else kept.limit(0)
 
 
 def missing(df: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
@@ -33,7 +34,7 @@ def duration_mismatch(measured: Column, begin: Column, end: Column, tolerance: f
 def without_garbage(df: DataFrame, text: str, n: int = -1) -> DataFrame:
     """Rows without a garbage tag in ``text``, null texts among them; ``n`` > 0 keeps the first of the kept rows."""
     kept = df.filter(~F.coalesce(is_garbage(F.col(text)), F.lit(False)))
-    return kept.orderBy(ROW).limit(n) if n > 0 else kept
+    return head(kept, n)
 
 
 def repeats(labels: Column) -> Column:

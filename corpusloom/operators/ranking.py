@@ -5,6 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.constants import ROW
+
+#: Row numbers that share a slice of a manifest.
+SLICE = 500_000
+
+
+def with_position(df: DataFrame, position: str = "_position", order: str = ROW, slice_rows: int = SLICE) -> DataFrame:
+    """``df`` with the place from 0 of each row in manifest order, as if the manifest were read anew.
+
+    ``order`` keeps the numbers of the manifest a row first came from, so filters leave gaps in it. One
+    pass tells whether there are any; without gaps the numbers are the places already. Otherwise
+    the rows are ranked in slices of numbers, shifted by the sizes of the slices before, of which
+    there are the greatest number / ``slice_rows`` at most. The numbers have to be unique and not null.
+    """
+    n, least, most = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+    if not n or most - least == n - 1:
+        return df.withColumn(position, F.col(order) - F.lit(least or 0))
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_rows).cast("bigint"))
+    before, shifts = 0, []
+    for r in sorted(sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()):
+        shifts.append((r["_slice"], before))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(shifts, "_slice bigint, _shift bigint")
+    within = Window.partitionBy("_slice").orderBy(order)
+    return sliced.withColumn("_rn", F.row_number().over(within)).join(table, "_slice").withColumn(position, F.col("_shift") + F.col("_rn") - 1).drop("_slice", "_rn", "_shift")
+
 
 def with_rank(df: DataFrame, keys: list[str], unit: str, buckets: str, ties: list[str], rank: str = "rank") -> DataFrame:
     """``df`` with the row number from 0 of each row among the rows of its ``keys``, by ``unit``.

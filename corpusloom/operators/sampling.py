@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.constants import ROW, SEED
-from corpusloom.operators.ranking import with_rank
+from corpusloom.operators.ranking import with_position, with_rank
 
 #: Rows of a stratum that are ranked together.
 SLICE = 500_000
@@ -88,8 +88,10 @@ def shard_range(total: int, shards: int, rank: int) -> tuple[int, int]:
 
 
 def in_shard(df: DataFrame, total: int, shards: int, rank: int) -> DataFrame:
+    """The rows of a shard by their places in the manifest, of which there are ``total``."""
     start, end = shard_range(total, shards, rank)
-    return df.filter((F.col(ROW) >= start) & (F.col(ROW) < end))
+    placed = with_position(df)
+    return placed.filter((F.col("_position") >= start) & (F.col("_position") < end)).drop("_position")
 
 
 def shard_bounds(df: DataFrame, shards: int) -> DataFrame:
@@ -105,12 +107,12 @@ def shard_number(df: DataFrame, size: int | None = None, shards: int | None = No
         raise ValueError("give either the size or the number of shards")
     if size is None:
         size = max(1, math.ceil(df.count() / shards))
-    return df.withColumn("shard", F.floor(F.col(ROW) / size).cast("int"))
+    return with_position(df).withColumn("shard", F.floor(F.col("_position") / size).cast("int")).drop("_position")
 
 
 def block_number(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with the number of its output block."""
-    return df.withColumn("block", F.floor(F.col(ROW) / rows).cast("int"))
+    """``df`` with the number of its output block, by the places of the rows in the manifest."""
+    return with_position(df).withColumn("block", F.floor(F.col("_position") / rows).cast("int")).drop("_position")
 
 
 def subsample(df: DataFrame, share: float, shard: str, key: str, seed: int = SEED) -> DataFrame:

@@ -13,20 +13,22 @@ from corpusloom.constants import ENDS, ROW, SEED, SPEECH_MARK, SPEECH_TOKENS, ST
 from corpusloom.functions.lists import boundaries, span_boundaries
 from corpusloom.functions.units import units_to_pua, without_repeats
 from corpusloom.operators.joins import units_of_span
+from corpusloom.operators.ranking import with_position
 
 
 def interleave(aligned: DataFrame, marks: bool = True, dedup: bool = True, seed: int = SEED) -> DataFrame:
     """(_row_idx, text, error): spans of text and of speech in turn.
 
-    Rows with an even number begin with text, others with speech. ``marks`` puts the modality mark
+    Rows at an even place of the manifest begin with text, others with speech; where filters have left
+    gaps in the numbers, the places are counted anew. ``marks`` puts the modality mark
     before each span, ``dedup`` leaves out units equal to the one before. Rows without tokens (where
     their number is odd), without speech tokens or with arrays of different lengths have an error and
     no text. Other columns are ignored.
     """
     tokens, units = F.col(TOKENIZED), F.col(SPEECH_TOKENS)
     bounds = span_boundaries(F.size(tokens), seed)
-    rows = aligned.select(ROW, tokens, units, STARTS, ENDS).withColumn("_bounds", bounds)
-    even = F.pmod(F.col(ROW), F.lit(2)) == 0
+    rows = with_position(aligned.select(ROW, tokens, units, STARTS, ENDS)).withColumn("_bounds", bounds)
+    even = F.pmod(F.col("_position"), F.lit(2)) == 0
 
     is_text = lambda i: (F.pmod(i, F.lit(2)) == 0) == even
 

@@ -146,9 +146,23 @@ def head_rows(s, d):
     return filters.head(mls(s, d), 100)
 
 
+@query("SELECT ID, _row_idx FROM mls_transcripts WHERE num_samples IS NOT NULL ORDER BY _row_idx LIMIT 100")
+def head_rows_filtered(s, d):
+    return filters.head(mls(s, d).filter("num_samples is not null").select("ID", ROW), 100)
+
+
 # ---------------------------------------------------------------- sinks
 
 
+_PLACED = "(SELECT *, row_number() OVER (ORDER BY _row_idx) - 1 AS place, count(*) OVER () AS n FROM mls_transcripts WHERE num_samples IS NOT NULL AND transcript IS NOT NULL)"
+
+
+@query(f"SELECT ID, _row_idx, floor(place / ceil(n / 7.0))::INT AS shard, floor(place / 500)::INT AS block FROM {_PLACED}")
+def shard_assignment_filtered(s, d):
+    kept = mls(s, d).filter("num_samples is not null and transcript is not null").select("ID", ROW)
+    return sampling.block_number(sampling.shard_number(kept, shards=7), 500)
+
+
 @query("WITH n AS (SELECT ceil(count(*) / 7.0)::BIGINT AS size FROM mls_transcripts) SELECT ID, _row_idx, floor(_row_idx / size)::INT AS shard FROM mls_transcripts, n")
 def shard_assignment(s, d):
     return sampling.shard_number(mls(s, d).select("ID", ROW), shards=7)
@@ -231,11 +245,11 @@ def speaker_from_id(s, d):
 
 # ---------------------------------------------------------------- filters and checks
 
-_FILES = "SELECT DISTINCT ID || '.flac' AS path FROM mls_transcripts WHERE num_samples IS NOT NULL"
+_FILES = "SELECT DISTINCT ID || '.flac' AS path FROM mls_transcripts WHERE duration > 12"
 
 
 def _files(s, d):
-    return mls(s, d).filter("num_samples is not null").select(F.concat("ID", F.lit(".flac")).alias("path"))
+    return mls(s, d).filter("duration > 12").select(F.concat("ID", F.lit(".flac")).alias("path"))
 
 
 @query(f"SELECT _row_idx, ID || '.flac' AS path FROM mls_aligned WHERE ID || '.flac' IN ({_FILES})")
@@ -428,10 +442,12 @@ def stratified_sample(s, d):
     return sampling.stratified_sample(rows, "speaker", 0.25).select("ID", ROW)
 
 
-@query()
+@query("SELECT s AS speaker, count(*) AS n, count(DISTINCT _row_idx) AS different FROM (" + _STRATA.format(key=SPEAKER, table="mls_transcripts", k="(SELECT (count(*) * 0.25)::BIGINT FROM mls_transcripts)", columns="t.s, _row_idx") + ") GROUP BY s")
 def stratified_sample_shuffled(s, d):
+    """The shuffled sample, counted by stratum: which rows it holds depends on a hash, how many does not."""
     rows = mls(s, d).withColumn("speaker", projections.speaker_of(F.col("ID")))
-    return sampling.stratified_sample(rows, "speaker", 0.25, shuffle=True).select("ID", ROW)
+    drawn = sampling.stratified_sample(rows, "speaker", 0.25, shuffle=True).groupBy("speaker", ROW).agg(F.count(F.lit(1)).alias("k"))
+    return drawn.groupBy("speaker").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("different"))
 
 
 @query("SELECT r::INT AS rank, round_even(n / 7.0 * r, 0)::BIGINT AS first, round_even(n / 7.0 * (r + 1), 0)::BIGINT AS until FROM (SELECT count(*) AS n FROM mls_transcripts), (SELECT unnest(range(7)) AS r)")
@@ -439,9 +455,11 @@ def shard_ranges(s, d):
     return sampling.shard_bounds(mls(s, d), 7)
 
 
-@query()
+@query("SELECT _row_idx % 5 AS shard, ceil(count(*) * 0.1::DOUBLE)::BIGINT AS n, ceil(count(*) * 0.1::DOUBLE)::BIGINT AS different FROM mls_aligned GROUP BY 1")
 def utterance_subsample(s, d):
-    return sampling.subsample(aligned(s, d).withColumn("shard", F.pmod(ROW, F.lit(5))), 0.1, "shard", ROW).select(ROW, "shard")
+    """The subsample, counted by shard."""
+    drawn = sampling.subsample(aligned(s, d).withColumn("shard", F.pmod(ROW, F.lit(5))), 0.1, "shard", ROW).groupBy("shard", ROW).agg(F.count(F.lit(1)).alias("k"))
+    return drawn.groupBy("shard").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("different"))
 
 
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS rank FROM documents")
@@ -503,12 +521,30 @@ def text_normalize_ascii(s, d):
     return table("events")(s, d).select("event_id", normalize.text_normalize(F.col("props")).alias("text"))
 
 
+@query(
+    r"""SELECT doc_id, CASE WHEN len(parts) > 1 THEN array_to_string(list_filter(parts, lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+')), ' ') ELSE parts[1] END AS text FROM (
+  SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(text), '\([^)]*[0-9][^)]*\)', ' ', 'g'), '&lt;|&gt;|&nbsp', '', 'g'), '[.?,:!{}"<>;()\[\]&/*%#@_$~=|+^\\\x08\x1a]', ' ', 'g'), '[\t-\r\x1c-\x1f ]+') AS parts FROM documents WHERE strlen(text) = length(text))"""
+)
+def text_normalize_plain_documents(s, d):
+    """All documents that are ASCII throughout."""
+    rows = docs(s, d).filter(F.octet_length("text") == F.char_length("text"))
+    return rows.select("doc_id", normalize.text_normalize(F.col("text")).alias("text"))
+
+
 @query()
 def text_normalize(s, d):
     return docs(s, d).select("doc_id", normalize.text_normalize(F.col("text")).alias("text"))
 
 
-@query()
+# full-width and Roman-numeral letters that the tokens hold, and what they are compositions of
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "ⅰⅼⅽⅾⅿⅹⅴ"
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "ilcdmxv"
+_NORMAL = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(nfc_normalize(translate(t, '" + _WIDE + "', '" + _NARROW + "'))), '(\\S+)[‛’‘](\\S+)', '\\1''\\2', 'g'), '[.?,:!{}\"<>;()\\[\\]&/*%#@_$~=|+^„“”«»…–—\\x{2060}]', ' ', 'g'), '[\\x{200b}\\x{200c}\\x{200e}\\x{200f}]', '', 'g'), '\\s+', ' ', 'g'))"
+)
+
+
+@query("SELECT _row_idx, list_transform(tokenized, lambda t: " + _NORMAL + ") AS normalized FROM mls_aligned")
 def normalize_tokens(s, d):
     return aligned(s, d).select(ROW, normalize.normalize_tokens(F.col("tokenized")).alias("normalized"))
 
@@ -699,6 +735,11 @@ def interleave_(s, d):
 QUERIES["interleave"], SQL["interleave"] = QUERIES.pop("interleave_"), SQL.pop("interleave_")
 
 
+@query(_interleave_sql(True, True).replace("FROM mls_aligned)", "FROM (SELECT * REPLACE (row_number() OVER (ORDER BY _row_idx) - 1 AS _row_idx), _row_idx AS own FROM mls_aligned WHERE len(speech_tokens) > 0))", 1).replace("SELECT e._row_idx", "SELECT e.own AS _row_idx"))
+def interleave_filtered(s, d):
+    return interleave.interleave(aligned(s, d).filter("size(speech_tokens) > 0"))
+
+
 @query(_interleave_sql(False, True))
 def interleave_no_marks(s, d):
     return interleave.interleave(aligned(s, d), marks=False)
@@ -735,9 +776,23 @@ def kmeans_inertia(s, d):
     return _rounded(cluster.inertia(cluster.assign(table("embeddings")(s, d), "vec_id", "embedding", _means(s, d))))
 
 
-@query()
+@query("SELECT 8::BIGINT AS clusters, count(*) AS points, true AS settled, true AS spread FROM embeddings")
 def kmeans_fit(s, d):
-    return cluster.fit(table("embeddings")(s, d), "embedding", 8)
+    """The fit of all embeddings, held against what a fit has to be.
+
+    ``settled`` tells whether every centroid is the mean of the points nearest to it, ``spread`` whether
+    the points are nearer to the centroids than to their common mean.
+    """
+    rows = table("embeddings")(s, d)
+    centroids = cluster.fit(rows, "embedding", 8)
+    near = cluster.assign(rows, "vec_id", "embedding", centroids)
+    each = rows.join(near, "vec_id").select("cluster", F.posexplode("embedding").alias("i", "v"))
+    means = each.groupBy("cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    off = means.join(centroids, "cluster").agg(F.max(F.abs(F.col("m") - F.get("vec", F.col("i")))).alias("off"))
+    whole = stats.moments(rows, "embedding").filter("i = j").agg(F.sum("covariance").alias("whole"))
+    told = near.agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("points"), F.avg("distance2").alias("cost"))
+    one = told.join(F.broadcast(off)).join(F.broadcast(whole))
+    return one.select("clusters", "points", (F.col("off") < 1e-6).alias("settled"), (F.col("cost") < F.col("whole")).alias("spread"))
 
 
 def _mixed(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -759,6 +814,9 @@ def _emitted(row_hash: int, frames: int | None) -> np.ndarray | None:
     return (h // 1000 * 1000 - h) / 100.0  # numpy divides faster than it takes the rest
 
 
+_IDS = "list_filter(list_transform(" + _LETTERS + ", lambda c: CASE WHEN len(c) = 1 AND c BETWEEN 'a' AND 'z' THEN ord(c) - 96 END), lambda x: x IS NOT NULL)"
+
+
 @query()
 def ctc_align(s, d):
     """All letters of a row over a frame for each of its speech tokens."""
@@ -767,6 +825,16 @@ def ctc_align(s, d):
     return align.align(rows, ROW, "frames", "targets", emit=lambda _, x: _emitted(x["h"], x["n"]))
 
 
+@query(
+    f"SELECT _row_idx, CASE WHEN error IS NULL THEN ids ELSE NULL END AS spelled, CASE WHEN error IS NULL THEN n END AS frames, error FROM (SELECT _row_idx, ids, n, CASE WHEN coalesce(len(ids), 0) = 0 THEN 'no tokens' WHEN n = 0 THEN 'no emissions' WHEN len(ids) + rep > n THEN 'more targets than frames' END AS error "
+    f"FROM (SELECT *, (SELECT count(*) FROM (SELECT unnest(ids[2:]) AS a, unnest(ids[:-2]) AS b) WHERE a = b) AS rep FROM (SELECT _row_idx, {_IDS} AS ids, coalesce(len(speech_tokens), 0)::INT AS n FROM mls_aligned)))"
+)
+def ctc_spelled(s, d):
+    """The alignment of all rows read back: equal neighbours once and blanks left out, a path spells its targets."""
+    paths = ctc_align(s, d)
+    return paths.select(ROW, F.filter(units.without_repeats(F.col("path")), lambda x: x != 0).alias("spelled"), F.when(F.col("path").isNotNull(), F.size("path")).alias("frames"), "error")
+
+
 @query()
 def uromanize(s, d):
     return pipeline.uromanize(mls(s, d).select(ROW, "ID", "transcript"), "transcript")

@@ -13,8 +13,10 @@ from corpusloom import schemas
 from corpusloom.constants import MLS_SPLIT_SIZES, ROW, SAMPLE_RATE
 from corpusloom.functions.text import is_garbage, substitute_punctuation_tags
 from corpusloom.functions.text import trimmed
+from corpusloom.operators.filters import head
+from corpusloom.operators.ranking import with_position
 from corpusloom.operators.sampling import shard_range
-from corpusloom.sources.files import list_files, read_lines
+from corpusloom.sources.files import list_files, numbered_lines, read_lines
 
 
 def parse_mls(lines: DataFrame, delimiter: str = "\t") -> DataFrame:
@@ -52,8 +54,8 @@ def parse_librispeech(lines: DataFrame, folder: str = "") -> DataFrame:
 
 def read_librispeech(spark: SparkSession, folder: str) -> DataFrame:
     """All transcripts of a split's tree."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.trans.txt").text(folder)
-    return parse_librispeech(lines.withColumn(ROW, F.monotonically_increasing_id()), folder)
+    lines = numbered_lines(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.trans.txt").text(folder))
+    return parse_librispeech(lines, folder)
 
 
 def read_librispeech_audio(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,8 +67,7 @@ def read_librispeech_audio(spark: SparkSession, folder: str) -> DataFrame:
 
 def voxpopuli(rows: DataFrame, n: int = -1, rate: int = SAMPLE_RATE) -> DataFrame:
     """The nine manifest fields, and ``array`` where the rows have it; another sample rate than ``rate`` raises."""
-    if n > 0:
-        rows = rows.filter(F.col(ROW) < n)
+    rows = head(rows, n)
     if "sample_rate" in rows.columns:
         rows = rows.filter(F.assert_true(F.col("sample_rate") == rate, "another sample rate").isNull())
     fields = [f.split(" ")[0] for f in schemas.VOXPOPULI.split(", ")]
@@ -80,8 +81,7 @@ def gigaspeech(rows: DataFrame, keep_garbage: bool = False, n: int = -1, rate: i
     """
     if not keep_garbage:
         rows = rows.filter(~F.coalesce(is_garbage(F.col("text")), F.lit(False)))
-    if n > 0:
-        rows = rows.orderBy(ROW).limit(n)
+    rows = head(rows, n)
     rows = rows.filter(F.assert_true(F.col("sample_rate") == rate, "another sample rate").isNull())
     fields = [f.split(" ")[0] for f in schemas.GIGASPEECH.split(", ")][:-1]
     return rows.select(*fields, substitute_punctuation_tags(F.col("text")).alias("text_processed"), ROW)
@@ -127,7 +127,8 @@ def mls_paths(rows: DataFrame, path: Column, total: int, shards: int = 1, rank:
     """(path, samples, _row_idx) of a shard of a manifest; the samples under either of their names."""
     start, end = shard_range(total, shards, rank)
     samples = F.coalesce(*[F.col(c) for c in ("n_samples", "num_samples") if c in rows.columns], F.lit(None).cast("bigint"))
-    return rows.filter((F.col(ROW) >= start) & (F.col(ROW) < end)).select(path.alias("path"), samples.alias("samples"), ROW)
+    placed = with_position(rows).filter((F.col("_position") >= start) & (F.col("_position") < end))
+    return placed.select(path.alias("path"), samples.alias("samples"), ROW)
 
 
 def truecase_model(texts: DataFrame, column: str) -> DataFrame:
