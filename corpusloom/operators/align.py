@@ -170,9 +170,11 @@ def _matrix(row: pa.Scalar) -> np.ndarray | None:
     return inner.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(inner), -1)
 
 
-def align(df: DataFrame, key: str, emissions: str, targets: str, blank: int = 0, emit: Callable[[object, object], np.ndarray | None] | None = None) -> DataFrame:
+def align(df: DataFrame, key: str, emissions: str, targets: str, blank: int = 0, emit: Callable[[object, object], np.ndarray | None] | None = None, scores: bool = False) -> DataFrame:
     """(key, path, error): the best path of each row; rows that cannot be aligned have an error and no path.
 
+    ``scores`` adds the probability of each label of the path in its frame.
+
     With ``emit``, the worker makes a row's emissions (frames x labels) from the key and the column
     ``emissions``, so that they never pass through the plan.
     """
@@ -180,14 +182,15 @@ def align(df: DataFrame, key: str, emissions: str, targets: str, blank: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, errors = [None] * batch.num_rows, [None] * batch.num_rows
+            paths, errors, sure = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             spelled = batch.column(2)
             held: list[tuple[int, np.ndarray, list[int]]] = []
             frames = letters = 0
 
             def settle() -> None:
-                for (i, _, _), path in zip(held, _paths([e for _, e, _ in held], [y for _, _, y in held], blank) if held else ()):
+                for (i, e, _), path in zip(held, _paths([e for _, e, _ in held], [y for _, _, y in held], blank) if held else ()):
                     paths[i] = path
+                    sure[i] = np.exp(e[np.arange(len(e)), path]) if scores else None
                 held.clear()
 
             # rows of about as many letters together
@@ -209,9 +212,12 @@ def align(df: DataFrame, key: str, emissions: str, targets: str, blank: int = 0,
                     frames, letters = len(e), len(y)
                 held.append((i, e, y))
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int32())), pa.array(errors, pa.string())], names=[key, "path", "error"])
+            columns = {key: batch.column(0), "path": pa.array(paths, pa.list_(pa.int32())), "error": pa.array(errors, pa.string())}
+            if scores:
+                columns["scores"] = pa.array(sure, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, path array<int>, error string")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, path array<int>, error string" + (", scores array<double>" if scores else ""))
 
 
 __all__ = ["SEGMENT", "align", "merge_repeats", "merge_repeats_long", "span_times", "viterbi", "with_token_spans"]

@@ -70,8 +70,12 @@ def token_units(aligned: DataFrame, tokens: str = "tokenized") -> DataFrame:
 
 
 def frames_in_spans(frames: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """The same as a range join of a frame table (key, frame_idx, unit) with spans (key, first, until)."""
-    return frames.join(spans, (frames[key] == spans[key]) & (frames["frame_idx"] >= spans["first"]) & (frames["frame_idx"] < spans["until"])).drop(spans[key])
+    """The same as a range join of a frame table (key, frame_idx, unit) with spans (key, first, until).
+
+    Each span is spread over its frames, so that a frame meets the spans it lies in and no others.
+    """
+    spread = spans.filter("until > first").withColumn("frame_idx", F.explode(F.sequence(F.col("first").cast("bigint"), F.col("until").cast("bigint") - 1)))
+    return frames.join(spread.withColumn("frame_idx", F.col("frame_idx").cast(frames.schema["frame_idx"].dataType)), [key, "frame_idx"])
 
 
 def label_ids(letters: Column, dictionary: dict[str, int]) -> Column:

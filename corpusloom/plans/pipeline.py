@@ -41,10 +41,9 @@ def align_and_encode(df: DataFrame, emissions: DataFrame, features: DataFrame, c
     told = df.join(paths, ROW).withColumn("_segments", merge_repeats(labelled)).withColumnRenamed("error", "_path_error")
     spans = with_token_spans(told, UROMAN, "_segments")
     times = span_times(F.col("spans"), F.lit(stride_ms))
-    units = assign(features.withColumn("_key", F.struct(ROW, "frame_idx")).select(ROW, "frame_idx", "vec", F.concat_ws(":", ROW, "frame_idx").alias("_k")), "_k", "vec", centroids)
+    units = assign(features.select(F.struct(ROW, "frame_idx").alias("_k"), "vec"), "_k", "vec", centroids)
     by_row = (
-        units.select(F.split("_k", ":").alias("k"), "cluster")
-        .select(F.get("k", F.lit(0)).cast("bigint").alias(ROW), F.struct(F.get("k", F.lit(1)).cast("int").alias("f"), F.col("cluster").alias("c")).alias("u"))
+        units.select(F.col(f"_k.{ROW}").alias(ROW), F.struct(F.col("_k.frame_idx").alias("f"), F.col("cluster").alias("c")).alias("u"))
         .groupBy(ROW)
         .agg(F.transform(F.sort_array(F.collect_list("u")), lambda u: u["c"]).alias(SPEECH_TOKENS))
     )

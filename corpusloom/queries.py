@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.constants import ROW
 from corpusloom.functions import normalize, romanize, text, units
-from corpusloom.operators import align, cluster, filters, joins, projections, ranking, sampling, sequences, stats
+from corpusloom.operators import align, cluster, emissions, filters, joins, projections, ranking, sampling, sequences, stats
 from corpusloom.plans import interleave, pipeline, vocabulary
 from corpusloom.sources import corpora, features, sinks
 from corpusloom.streaming import manifests
@@ -554,7 +554,16 @@ def romanize_texts(s, d):
     return vox(s, d).select(ROW, romanize.romanize(F.col("raw_text")).alias("text"))
 
 
-@query()
+def _words(text: str) -> str:
+    return f"SELECT _row_idx, unnest(string_split_regex({text}, '{_SPACE}')) AS word, unnest(range(len(string_split_regex({text}, '{_SPACE}')))) AS i FROM voxpopuli WHERE raw_text IS NOT NULL"
+
+
+
+@query(
+    f"WITH w AS ({_words('raw_text')}), c AS (SELECT lower(word) AS word, word AS spelling, count(*) AS n FROM w WHERE i > 0 AND word <> '' GROUP BY ALL), "
+    f"m AS (SELECT word, spelling FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, spelling) AS place FROM c) WHERE place = 1), l AS ({_words('lower(raw_text)')}) "
+    "SELECT _row_idx, string_agg(coalesce(spelling, upper(l.word[1]) || l.word[2:]), ' ' ORDER BY i) AS text FROM l LEFT JOIN m ON l.word = m.word GROUP BY _row_idx"
+)
 def truecase(s, d):
     rows = vox(s, d).filter("raw_text is not null")
     return corpora.truecase(rows, "raw_text", corpora.truecase_model(rows, "raw_text"))
@@ -835,6 +844,27 @@ def ctc_spelled(s, d):
     return paths.select(ROW, F.filter(units.without_repeats(F.col("path")), lambda x: x != 0).alias("spelled"), F.when(F.col("path").isNotNull(), F.size("path")).alias("frames"), "error")
 
 
+@query(
+    "SELECT _row_idx, i::INT AS \"window\", greatest(i * 480000 - 48000, 0) AS first_sample, least((i + 1) * 480000 + 48000, num_samples) AS until_sample, (i * 1500 - CASE WHEN i > 0 THEN i * 1500 - 150 ELSE 0 END)::INT AS first_frame, ((i + 1) * 1500 - CASE WHEN i > 0 THEN i * 1500 - 150 ELSE 0 END)::INT AS until_frame "
+    "FROM (SELECT _row_idx, num_samples, unnest(range((num_samples + 479999) // 480000)) AS i FROM (SELECT _row_idx, num_samples * 5 AS num_samples FROM mls_transcripts WHERE num_samples > 0))"
+)
+def window_trim(s, d):
+    """The windows of the audio, taken five times as long, so that most have several."""
+    rows = mls(s, d).select(ROW, F.posexplode(emissions.windows(F.col("num_samples") * 5)).alias("window", "w"))
+    return rows.select(ROW, "window", "w.*")
+
+
+@query(
+    "WITH f AS (SELECT _row_idx, unnest(speech_tokens) AS u, unnest(range(len(speech_tokens)))::INT AS i FROM mls_aligned WHERE len(speech_tokens) > 0), m AS (SELECT *, CASE WHEN i = 0 OR u <> lag(u) OVER (PARTITION BY _row_idx ORDER BY i) THEN 1 ELSE 0 END AS b FROM f), "
+    "g AS (SELECT *, sum(b) OVER (PARTITION BY _row_idx ORDER BY i) AS run FROM m) SELECT _row_idx, any_value(u) AS label, min(i) AS \"start\", max(i) + 1 AS \"end\", round(avg(1 / (1 + i % 4)::DOUBLE), 6) AS score FROM g WHERE u <> 7 GROUP BY _row_idx, run"
+)
+def scored_spans(s, d):
+    """Spans of units with the mean of a made-up score of each frame; unit 7 stands for the blank."""
+    scores = F.transform("speech_tokens", lambda u, i: 1 / (1 + F.pmod(i, F.lit(4))))
+    each = aligned(s, d).select(ROW, F.explode(emissions.scored_spans(F.col("speech_tokens"), scores, 7)).alias("x"))
+    return each.select(ROW, "x.label", "x.start", "x.end", F.round("x.score", 6).alias("score"))
+
+
 @query()
 def uromanize(s, d):
     return pipeline.uromanize(mls(s, d).select(ROW, "ID", "transcript"), "transcript")

@@ -14,8 +14,10 @@ from corpusloom.constants import MLS_SPLIT_SIZES, ROW, SAMPLE_RATE
 from corpusloom.functions.text import is_garbage, substitute_punctuation_tags
 from corpusloom.functions.text import trimmed
 from corpusloom.operators.filters import head
+from corpusloom.operators.joins import split_join
 from corpusloom.operators.ranking import with_position
 from corpusloom.operators.sampling import shard_range
+from corpusloom.session import checkpointed
 from corpusloom.sources.files import list_files, numbered_lines, read_lines
 
 
@@ -74,17 +76,22 @@ def voxpopuli(rows: DataFrame, n: int = -1, rate: int = SAMPLE_RATE) -> DataFram
     return rows.select(*fields, *[c for c in ("array", ROW) if c in rows.columns])
 
 
-def gigaspeech(rows: DataFrame, keep_garbage: bool = False, n: int = -1, rate: int = SAMPLE_RATE) -> DataFrame:
+def gigaspeech(rows: DataFrame, keep_garbage: bool = False, n: int = -1, rate: int = SAMPLE_RATE, model: DataFrame | None = None) -> DataFrame:
     """Manifest rows of the published segments: without garbage, punctuation tags as characters.
 
-    ``n`` > 0 keeps the first of the kept rows. ``text_processed`` is not re-cased; see ``truecase``.
+    ``n`` > 0 keeps the first of the kept rows. With a truecase ``model`` the words of ``text_processed`` are
+    spelled by it, otherwise they stay as they are.
     """
     if not keep_garbage:
         rows = rows.filter(~F.coalesce(is_garbage(F.col("text")), F.lit(False)))
     rows = head(rows, n)
     rows = rows.filter(F.assert_true(F.col("sample_rate") == rate, "another sample rate").isNull())
     fields = [f.split(" ")[0] for f in schemas.GIGASPEECH.split(", ")][:-1]
-    return rows.select(*fields, substitute_punctuation_tags(F.col("text")).alias("text_processed"), ROW)
+    out = rows.select(*fields, substitute_punctuation_tags(F.col("text")).alias("text_processed"), ROW)
+    if model is None:
+        return out
+    cased = truecase(out.select(ROW, "text_processed"), "text_processed", model).withColumnRenamed("text", "_cased")
+    return out.join(cased, ROW).withColumn("text_processed", F.col("_cased")).select(out.columns)
 
 
 def explode_gigaspeech(raw: DataFrame, n: int = -1, suffix: str | None = None) -> DataFrame:
@@ -131,6 +138,10 @@ def mls_paths(rows: DataFrame, path: Column, total: int, shards: int = 1, rank:
     return placed.select(path.alias("path"), samples.alias("samples"), ROW)
 
 
+#: Words of a truecase model that is sent to all tasks.
+MAX_SENT = 500_000
+
+
 def truecase_model(texts: DataFrame, column: str) -> DataFrame:
     """(word, spelling): the most frequent spelling of each word inside a text; ties go to the first in order."""
     words = texts.select(F.posexplode(F.split(column, r"(?U)\s+")).alias("i", "spelling")).filter("i > 0 and spelling <> ''")
@@ -141,7 +152,11 @@ def truecase_model(texts: DataFrame, column: str) -> DataFrame:
 def truecase(texts: DataFrame, column: str, model: DataFrame, key: str = ROW) -> DataFrame:
     """(key, text): words in their most frequent spelling, unknown ones capitalized; deterministic."""
     words = texts.select(key, F.posexplode(F.split(F.lower(column), r"(?U)\s+")).alias("i", "word"))
-    spelled = words.join(model, "word", "left").select(key, F.struct("i", F.coalesce("spelling", F.initcap("word")).alias("w")).alias("p"))
+    model = checkpointed(model.select("word", "spelling"))
+    # a small model is sent to the words; otherwise the very frequent words are dealt to several tasks
+    small = model.limit(MAX_SENT + 1).count() <= MAX_SENT
+    joined = words.join(F.broadcast(model), "word", "left") if small else split_join(words, model, ["word"], [key, "i"], "left")
+    spelled = joined.select(key, F.struct("i", F.coalesce("spelling", F.initcap("word")).alias("w")).alias("p"))
     joined = spelled.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["w"]), " ").alias("text"))
     return texts.select(key).join(joined, key, "left")
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import os
 import wave
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +31,14 @@ def feature_frames(lengths: list[int], features: np.ndarray, names: list[str] |
     return pd.DataFrame({"utt_id": ids, "frame_idx": frame.astype("int32"), "vec": list(np.asarray(features, dtype="float32"))})
 
 
-def read_feature_shards(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """(shard, utt_id, frame_idx, vec) of ``split_*.npy`` matrices and ``split_*.len`` lengths in a folder.
+def read_feature_shards(spark: SparkSession, folder: str, split: str, nshard: int | None = None, rank: int | None = None) -> DataFrame:
+    """(shard, utt_id, frame_idx, vec) of ``split_<rank>_<nshard>.npy`` matrices and their ``.len`` lengths in a folder.
+
+    All shards, or those of one division, or one of them; the folder has to be there on every worker.
 
     A task maps one shard and reads it in pieces, so a shard need not fit in memory.
     """
-    shards = spark.read.format("binaryFile").option("pathGlobFilter", f"{split}_*.len").load(folder).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"))
+    shards = spark.read.format("binaryFile").option("pathGlobFilter", f"{split}_{'*' if rank is None else rank}_{'*' if nshard is None else nshard}.len").load(folder).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"))
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -51,6 +56,83 @@ def read_feature_shards(spark: SparkSession, folder: str, split: str) -> DataFra
     return shards.mapInPandas(load, "shard string, utt_id string, frame_idx int, vec array<float>")
 
 
+def write_feature_shards(frames: DataFrame, folder: str, split: str, nshard: int, order: str = "utt") -> DataFrame:
+    """Writes ``split_<rank>_<nshard>.npy`` and ``.len`` files; gives (rank, utterances, frames) of each.
+
+    ``frames`` holds (``order``, frame_idx, vec), where ``order`` numbers the utterances; shard ``rank`` takes
+    those with this number modulo ``nshard``, in order. A shard is streamed by one task to a file beside
+    its place and moved there when whole, so a task may run again; files that are there already
+    raise. The folder has to be there on every worker.
+    """
+    stem = lambda rank: Path(folder) / f"{split}_{rank}_{nshard}"
+    if found := [str(stem(r)) for r in range(nshard) if stem(r).with_suffix(".npy").exists()]:
+        raise FileExistsError(f"features exist: {found[0]}.npy")
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    told = frames.select(F.pmod(F.col(order), F.lit(nshard)).cast("int").alias("rank"), F.col(order).cast("bigint").alias("utt"), F.col("frame_idx").cast("int").alias("frame_idx"), F.col("vec").cast("array<float>").alias("vec"))
+    total = {r["rank"]: (r["n"], r["width"]) for r in told.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).collect()}
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, files, length, last = None, (), 0, None
+
+        def ended() -> pa.RecordBatch:
+            files[1].write(f"{length}\n")
+            utterances = files[2] + 1
+            for f in files[:2]:
+                f.close()
+            for f, suffix in zip(files, (".npy", ".len")):
+                os.replace(f.name, stem(rank).with_suffix(suffix))
+            return pa.RecordBatch.from_pydict({"rank": pa.array([rank], pa.int32()), "utterances": pa.array([utterances]), "frames": pa.array([total[rank][0]])})
+
+        for batch in batches:
+            ranks, utts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            vectors = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(ranks) | np.diff(utts)) + 1
+            for a, b in zip([0, *edges], [*edges, len(ranks)]):
+                if rank != ranks[a]:
+                    if rank is not None:
+                        yield ended()
+                    rank, last, length = int(ranks[a]), None, 0
+                    mark = f".{os.getpid()}.part"
+                    files = (open(f"{stem(rank)}.npy{mark}", "wb"), open(f"{stem(rank)}.len{mark}", "w"), 0)
+                    np.lib.format.write_array_header_1_0(files[0], {"descr": "<f4", "fortran_order": False, "shape": total[rank]})
+                if last is not None and utts[a] != last:
+                    files[1].write(f"{length}\n")
+                    files, length = (*files[:2], files[2] + 1), 0
+                last, length = utts[a], length + b - a
+                width = total[rank][1]
+                if (b - a) * width != len(part := vectors[a * width : b * width]):
+                    raise ValueError(f"vectors of different lengths in shard {rank}")
+                files[0].write(part.astype("<f4").tobytes())
+        if rank is not None:
+            yield ended()
+
+    return told.repartition(nshard, "rank").sortWithinPartitions("rank", "utt", "frame_idx").mapInArrow(write, "rank int, utterances bigint, frames bigint")
+
+
+def write_audio(audio: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's ``samples`` at its ``sample_rate`` as 16-bit WAV, under the name of its ``path``; gives (path, written).
+
+    Rows without samples are left out; a file that is there already raises. The folder has to be there
+    on every worker.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        for frame in frames:
+            done = []
+            for path, samples, rate in zip(frame["path"], frame["samples"], frame["sample_rate"]):
+                target = Path(folder) / Path(path).with_suffix(".wav").name
+                if target.exists():
+                    raise FileExistsError(str(target))
+                part = target.with_suffix(f".{os.getpid()}.part")
+                part.write_bytes(encode_wav(np.asarray(samples, float), int(rate)))
+                os.replace(part, target)
+                done.append((path, str(target)))
+            yield pd.DataFrame(done, columns=["path", "written"])
+
+    return audio.filter("samples is not null").select("path", "samples", "sample_rate").mapInPandas(write, "path string, written string")
+
+
 def frame_counts(frames: DataFrame) -> DataFrame:
     """(utt_id, n_frames) of a frame table."""
     return frames.groupBy("utt_id").agg(F.count(F.lit(1)).cast("int").alias("n_frames"))
