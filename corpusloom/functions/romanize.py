@@ -39,7 +39,32 @@ HANGUL_LEADS = "g kk n d tt r m b pp s ss - j jj c k t p h".split()
 HANGUL_VOWELS = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split()
 HANGUL_TAILS = "- g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split()
 LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "ng"}
-ABUGIDAS = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA")
+GEORGIAN = {
+    "AN": "a", "BAN": "b", "GAN": "g", "DON": "d", "EN": "e", "VIN": "v", "ZEN": "z", "TAN": "t", "IN": "i", "KAN": "k", "LAS": "l", "MAN": "m", "NAR": "n", "ON": "o", "PAR": "p", "ZHAR": "zh", "RAE": "r", "SAN": "s", "TAR": "t", "UN": "u", "PHAR": "p", "KHAR": "k", "GHAN": "gh", "QAR": "q", "SHIN": "sh", "CHIN": "ch", "CAN": "ts", "JIL": "dz", "CIL": "ts", "CHAR": "ch", "XAN": "kh", "JHAN": "j", "HAE": "h",
+}
+ARMENIAN = {
+    "AYB": "a", "BEN": "b", "GIM": "g", "DA": "d", "ECH": "e", "ZA": "z", "EH": "e", "ET": "e", "TO": "t", "ZHE": "zh", "INI": "i", "LIWN": "l", "XEH": "kh", "CA": "ts", "KEN": "k", "HO": "h", "JA": "dz", "GHAD": "gh", "CHEH": "ch", "MEN": "m", "YI": "y", "NOW": "n", "SHA": "sh", "VO": "o", "CHA": "ch", "PEH": "p", "JHEH": "j", "RA": "r", "SEH": "s", "VEW": "v", "TIWN": "t", "REH": "r", "CO": "ts", "YIWN": "w", "PIWR": "p", "KEH": "k", "OH": "o", "FEH": "f",
+}
+COPTIC = {"ALFA": "a", "VIDA": "b", "GAMMA": "g", "DALDA": "d", "EIE": "e", "ZATA": "z", "HATE": "e", "THETHE": "th", "IAUDA": "i", "KAPA": "k", "LAULA": "l", "MI": "m", "NI": "n", "KSI": "x", "O": "o", "PI": "p", "RO": "r", "SIMA": "s", "TAU": "t", "UA": "u", "FI": "ph", "KHI": "kh", "PSI": "ps", "OOU": "o", "SHEI": "sh", "FEI": "f", "KHEI": "kh", "HORI": "h", "GANGIA": "j", "SHIMA": "ch", "DEI": "ti"}
+#: The letters of Braille by their dots.
+BRAILLE = {
+    "1": "a", "12": "b", "14": "c", "145": "d", "15": "e", "124": "f", "1245": "g", "125": "h", "24": "i", "245": "j", "13": "k", "123": "l", "134": "m", "1345": "n", "135": "o", "1234": "p", "12345": "q", "1235": "r", "234": "s", "2345": "t", "136": "u", "1236": "v", "2456": "w", "1346": "x", "13456": "y", "1356": "z",
+}
+#: Kana whose sound is not that of their name.
+KANA = {"SI": "shi", "TI": "chi", "TU": "tsu", "HU": "fu", "ZI": "ji", "DI": "ji", "DU": "zu"}
+#: Sinhala vowel signs, and Thaana ones.
+SINHALA_SIGNS = {"AELA-PILLA": "aa", "KETTI AEDA-PILLA": "ae", "DIGA AEDA-PILLA": "aae", "KETTI IS-PILLA": "i", "DIGA IS-PILLA": "ii", "KETTI PAA-PILLA": "u", "DIGA PAA-PILLA": "uu", "KOMBUVA": "e", "DIGA KOMBUVA": "ee", "KOMBU DEKA": "ai", "KOMBUVA HAA AELA-PILLA": "o", "KOMBUVA HAA DIGA AELA-PILLA": "oo", "KOMBUVA HAA GAYANUKITTA": "au"}
+THAANA = {"ABAFILI": "a", "AABAAFILI": "aa", "IBIFILI": "i", "EEBEEFILI": "ee", "UBUFILI": "u", "OOBOOFILI": "oo", "EBEFILI": "e", "EYBEYFILI": "ey", "OBOFILI": "o", "OABOAFILI": "oa", "SUKUN": ""}
+#: Letters that sound different in one language.
+OWN = {("ukr", "и"): "y", ("ukr", "И"): "Y", ("ukr", "г"): "h", ("ukr", "Г"): "H"}
+BRAILLE_CAPITAL, GRAVE = "\u2820", "\u0300"
+#: Vowels that are written before the consonant they are spoken after (Thai and Lao).
+WRITTEN_BEFORE = "\u0e40\u0e41\u0e42\u0e43\u0e44\u0ec0\u0ec1\u0ec2\u0ec3\u0ec4"
+O_ANG = "\u0e2d"
+THAI_VOWELS = {"A": "a", "AA": "aa", "AM": "am", "I": "i", "II": "ii", "UE": "ue", "UEE": "uee", "U": "u", "UU": "uu", "E": "e", "AE": "ae", "O": "o", "AI MAIMUAN": "ai", "AI MAIMALAI": "ai", "EI": "e", "Y": "ue", "YY": "uee", "AY": "ai", "MAI KAN": "a", "MAI KON": "o", "AI": "ai"}
+#: Scripts whose consonants have a vowel of their own, by the first word of their characters' names.
+ABUGIDAS = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "MYANMAR", "KHMER", "TIBETAN", "JAVANESE", "BALINESE", "NEWA", "SAURASHTRA", "TAGALOG", "LIMBU", "LEPCHA")
+VIRAMAS = ("SIGN VIRAMA", "SIGN AL-LAKUNA", "SIGN COENG", "SIGN ASAT", "PANGKON", "ADEG ADEG", "SIGN HALANTA")
 #: Rule lines beyond this number are not sent to the workers.
 MAX_RULES = 2_000_000
 #: Words that a task keeps with their reading.
@@ -83,7 +108,7 @@ class Edge:
 def letter_sound(c: str) -> str | None:
     """What the name of a letter tells about its sound; null for letters the rules don't cover."""
     name = unicodedata.name(c, "")
-    for script, table in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK), ("HEBREW", HEBREW), ("ARABIC", ARABIC)):
+    for script, table in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK), ("HEBREW", HEBREW), ("ARABIC", ARABIC), ("GEORGIAN", GEORGIAN), ("ARMENIAN", ARMENIAN), ("COPTIC", COPTIC)):
         if name.startswith(script) and " LETTER " in name:
             base = name.split(" LETTER ", 1)[1]
             sound = table.get(base, table.get(re.sub(r" WITH .*", "", base)))
@@ -92,11 +117,30 @@ def letter_sound(c: str) -> str | None:
     if c.lower() in LATIN:
         return LATIN[c.lower()] if c.islower() else LATIN[c.lower()].capitalize()
     if name.startswith(("HIRAGANA LETTER ", "KATAKANA LETTER ")):
-        return re.sub(r"^SMALL ", "", name.split(" LETTER ", 1)[1]).lower()
-    if name.startswith("THAI CHARACTER "):
-        first = name.split(" ")[2].lower()
-        return "" if first.startswith(("mai", "nikh", "yam", "thanth")) else re.match(r"(?:sara )?[a-z]*?(?=o$|$)", first)[0] or first
-    return None
+        base = re.sub(r"^SMALL ", "", name.split(" LETTER ", 1)[1])
+        return KANA.get(base, base.lower())
+    if name.startswith(("THAI CHARACTER ", "LAO LETTER ", "LAO VOWEL SIGN ")):
+        return _thai_sound(re.sub(r"^(?:THAI CHARACTER|LAO LETTER) ", "", name.replace("LAO VOWEL SIGN", "SARA")))
+    if name.startswith("BRAILLE PATTERN DOTS-"):
+        return BRAILLE.get(name.removeprefix("BRAILLE PATTERN DOTS-"))
+    # syllabaries and alphabets whose names are their sounds
+    if m := re.fullmatch(r"(?:ETHIOPIC SYLLABLE(?: GLOTTAL| PHARYNGEAL)?|YI SYLLABLE|VAI SYLLABLE|LINEAR B SYLLABLE B\d+|CHEROKEE (?:SMALL )?LETTER|BOPOMOFO LETTER|CANADIAN SYLLABICS) ([A-Z]+)", name):
+        return m[1].lower()
+    if name.startswith("THAANA "):
+        return re.match(r"[^AEIOU]*", name.split(" ")[-1])[0].lower() if " LETTER " in name else THAANA.get(name.split(" ")[-1])
+    return "/" if c == "\u2044" else None
+
+
+def _thai_sound(name: str) -> str:
+    """A Thai or Lao letter by its name: consonants without the o of the name, tone and other marks silent."""
+    if name.startswith("SARA "):
+        return THAI_VOWELS.get(name.removeprefix("SARA "), name.split(" ")[1].lower())
+    if name == "MAI HAN-AKAT":
+        return "a"
+    if name.startswith(("MAI", "NIKH", "YAM", "THANTH", "PAIYAN", "PHINTHU")):
+        return ""
+    first = name.split(" ")[0].lower()
+    return first.removesuffix("o") or first
 
 
 @cache
@@ -106,20 +150,27 @@ def abugida_part(c: str) -> tuple[str, str] | None:
     script = name.split(" ")[0]
     if script not in ABUGIDAS:
         return None
-    if name.endswith(("SIGN VIRAMA", "SIGN AL-LAKUNA")):
+    if name.endswith(VIRAMAS):
         return "virama", ""
+    if script == "SINHALA" and " VOWEL SIGN " in name:
+        return "sign", SINHALA_SIGNS.get(name.split(" VOWEL SIGN ")[1], "")
+    if script == "SINHALA" and name.endswith("AYANNA"):
+        sound = name.split(" ")[-1].removesuffix("AYANNA").lower()
+        return "consonant", "sh" if sound == "s" and "DANTAJA" not in name else sound + "h" * ("MAHAAPRAANA" in name)
+    if " CONSONANT SIGN MEDIAL " in name or " SUBJOINED LETTER " in name:
+        return "medial", name.split(" ")[-1].lower().rstrip("a")
     if " VOWEL SIGN " in name:
         return "sign", _plain_vowel(name.split(" VOWEL SIGN ")[1])
-    if name.endswith(("SIGN ANUSVARA", "SIGN CANDRABINDU", "SIGN BINDI")):
-        return "mark", "n"
+    if name.endswith(("SIGN ANUSVARA", "SIGN ANUSVARAYA", "SIGN CANDRABINDU", "SIGN BINDI", "TIPPI")):
+        return "mark", "m" if script in ("MALAYALAM", "TELUGU", "KANNADA", "TAMIL", "SINHALA") else "n"
     if name.endswith("SIGN VISARGA"):
         return "mark", "h"
     if name.endswith("SIGN NUKTA"):
         return "mark", ""
     if " LETTER " in name:
         sound = name.split(" LETTER ")[1].lower().split(" ")[-1]
-        if sound.endswith("a") and len(sound) > 1 and sound[0] not in "aeiou":
-            return "consonant", sound[:-1]
+        if re.fullmatch(r"[^aeiou]+[ao]", sound):
+            return "consonant", {"lll": "zh"}.get(sound[:-1], sound[:-1])
         return "vowel", _plain_vowel(sound.upper())
     return None
 
@@ -189,8 +240,8 @@ class Romanizer:
             part = abugida_part(c)
             if part:
                 out.append(Edge(i, i + 1, self._syllable(text, i, part, language)))
-            elif (sound := letter_sound(c)) is not None or (sound := hangul(c)) is not None:
-                out.append(Edge(i, i + 1, self._in_context(text, i, sound)))
+            elif (sound := OWN.get((language, c))) is not None or (sound := letter_sound(c)) is not None or (sound := hangul(c)) is not None:
+                out.append(self._in_context(text, i, sound))
             elif (value := number_value(c)) is not None:
                 out.append(Edge(i, i + 1, value, "num"))
             else:
@@ -198,7 +249,7 @@ class Romanizer:
                 if tag and tag not in NOT_FOLLOWED:
                     inner = unicodedata.normalize("NFKD", c)
                     if inner != c:
-                        out.append(Edge(i, i + 1, self.romanize(inner, language), "rom decomp", 1))
+                        out.append(Edge(i, i + 1, self._apart(text, i, self.romanize(inner, language)), "rom decomp", 1))
             silent = unicodedata.category(c) in ("Mn", "Cf")
             out.append(Edge(i, i + 1, "" if silent else c, "fallback", 2))
         return out
@@ -215,13 +266,13 @@ class Romanizer:
     def _syllable(text: str, i: int, part: tuple[str, str], language: str) -> str:
         """A consonant has its own 'a' unless a vowel sign or virama follows, or it ends a longer Devanagari word."""
         kind, sound = part
-        if kind != "consonant":
+        if kind not in ("consonant", "medial"):
             return sound
         following = [abugida_part(text[j]) for j in range(i + 1, min(i + 3, len(text)))]
         if following and following[0] and following[0] == ("mark", "") and len(following) > 1:
             following = following[1:]
         after = following[0] if following else None
-        if after and after[0] in ("sign", "virama"):
+        if after and after[0] in ("sign", "virama", "medial"):
             return sound
         ends = after is None
         longer = i > 0 and abugida_part(text[i - 1]) is not None
@@ -230,15 +281,38 @@ class Romanizer:
         return sound + "a"
 
     @staticmethod
-    def _in_context(text: str, i: int, sound: str) -> str:
-        """Small kana and capitals next to capitals."""
-        name = unicodedata.name(text[i], "")
-        if name.endswith("LETTER SMALL TU") and i + 1 < len(text):
-            following = letter_sound(text[i + 1]) or ""
-            return following[:1]
-        if len(sound) > 1 and text[i].isupper() and (i + 1 < len(text) and text[i + 1].isupper() or i > 0 and text[i - 1].isupper() and not text[i + 1 : i + 2].islower()):
-            return sound.upper()
-        return sound
+    def _apart(text: str, i: int, sound: str) -> str:
+        """A fraction keeps away from numerals next to it: 23½ becomes 23 1/2."""
+        numeral = lambda k: 0 <= k < len(text) and unicodedata.numeric(text[k], None) is not None
+        if not numeral(i):
+            return sound
+        return " " * numeral(i - 1) + sound + " " * numeral(i + 1)
+
+    @staticmethod
+    def _in_context(text: str, i: int, sound: str) -> Edge:
+        """The reading of a letter among its neighbours; it may take in the sign before or after it."""
+        c, last, following = text[i], text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
+        name = unicodedata.name(c, "")
+        consonant = sound[:1] not in ("", *"aeiou")
+        if name.endswith("LETTER SMALL TU"):
+            # doubles the next consonant; before ch it is t
+            after = letter_sound(following) or "" if following else ""
+            return Edge(i, i + 1, "t" if after.startswith("ch") else after[:1])
+        if last == BRAILLE_CAPITAL and name.startswith("BRAILLE"):
+            return Edge(i - 1, i + 1, sound.capitalize())
+        if following == GRAVE and name.startswith("COPTIC") and consonant:
+            return Edge(i, i + 2, "e" + sound)
+        if last and last in WRITTEN_BEFORE and consonant:
+            return Edge(i - 1, i + 1, sound + (letter_sound(last) or ""))
+        if c == O_ANG:
+            # silent as the bearer of a vowel, o between consonants
+            beside = [letter_sound(x) if x and "\u0e01" <= x <= "\u0e2e" and x != O_ANG else "" for x in (last, following)]
+            return Edge(i, i + 1, "o" if all(beside) else "")
+        if len(sound) > 1 and sound[0].isupper():
+            # all capitals stay so; a capital before a small letter has one capital
+            if following.isupper() or last.isupper() and not following.islower():
+                sound = sound.upper()
+        return Edge(i, i + 1, sound)
 
     def path(self, text: str, language: str = "") -> list[Edge]:
         """From the left, always the longest edge; among equally long ones the least order."""
@@ -247,6 +321,7 @@ class Romanizer:
             at.setdefault(e.start, []).append(e)
         out, i = [], 0
         while i < len(text):
+            # an edge may begin before its letter, at a sign that is read with it
             best = min(at[i], key=lambda e: (-(e.end - e.start), e.order))
             if best.text == "ー" and out and out[-1].text:
                 best = Edge(best.start, best.end, out[-1].text[-1])
