@@ -34,7 +34,9 @@ def letters(token: Column) -> Column:
 
 def letter_tokens(tokens: Column, normalize: bool = True) -> Column:
     """Spelled-out tokens, optionally reduced to a-z and apostrophes."""
-    return F.transform(tokens, lambda t: normalize_uroman(letters(t)) if normalize else letters(t))
+    # of a reduced token only its a-z and apostrophes are left, so nothing needs to be split
+    reduced = lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z']", ""), "(?<=.)(?=.)", " ")
+    return F.transform(tokens, reduced if normalize else letters)
 
 
 def substitute_punctuation_tags(text: Column) -> Column:

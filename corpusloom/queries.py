@@ -16,7 +16,7 @@ from corpusloom.constants import ROW
 from corpusloom.functions import normalize, romanize, text, units
 from corpusloom.operators import align, cluster, emissions, filters, joins, projections, ranking, sampling, sequences, stats
 from corpusloom.plans import interleave, pipeline, vocabulary
-from corpusloom.sources import corpora, features, sinks
+from corpusloom.sources import corpora, features, files, sinks
 from corpusloom.streaming import manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,7 +385,7 @@ _DIST = "SELECT count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query(_DIST.format("SELECT duration AS v FROM mls_transcripts"))
@@ -415,7 +415,7 @@ def temporal_ratios(s, d):
 
 
 @query(
-    "WITH x AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i AS i, b.i AS j, round(avg(a.v), 6) AS mean_i, round(avg(b.v), 6) AS mean_j, round(covar_pop(a.v, b.v), 6) AS covariance FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL"
+    "WITH x AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i AS i, b.i AS j, round(avg(a.v), 6) AS mean_i, round(avg(b.v), 6) AS mean_j, round(covar_pop(a.v, b.v), 6) + 0 AS covariance FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL"
 )
 def embedding_moments(s, d):
     return _rounded(stats.moments(table("embeddings")(s, d), "embedding"))
@@ -688,9 +688,10 @@ def pad_batch(s, d):
     return rows.join(F.broadcast(most)).select(ROW, sequences.padded(F.col("x"), F.col("most")).alias("padded"))
 
 
-@query("SELECT cluster, list_transform(range(1, 9), lambda i: (vec[i] + vec[i + 8]) / 2) AS mono FROM centroids")
+@query("SELECT cluster, list_transform(range(1, len(vec) // 2 + 1), lambda i: (vec[i] + vec[i + len(vec) // 2]) / 2) AS mono FROM centroids")
 def mono_mix(s, d):
-    channels = F.array(F.slice("vec", 1, 8), F.slice("vec", 9, 8))
+    half = F.floor(F.size("vec") / 2).cast("int")
+    channels = F.array(F.slice("vec", F.lit(1), half), F.slice("vec", half + 1, half))
     return table("centroids")(s, d).select("cluster", sequences.mono(channels).alias("mono"))
 
 
@@ -701,11 +702,8 @@ def padded_vocabulary(s, d):
 
 @query("WITH v AS (SELECT row_number() OVER (ORDER BY w) - 1 AS id, w AS piece, -(row_number() OVER (ORDER BY w) - 1)::DOUBLE AS score FROM (SELECT DISTINCT genre AS w FROM documents)), e AS (SELECT max(id) + 1 AS n, min(score) AS least FROM v) SELECT * FROM v UNION ALL SELECT n + k, chr(983040 + k::INT), least - 1 - k FROM e, (SELECT unnest(range(1000)) AS k) UNION ALL SELECT n + 1000 + m, CASE m WHEN 0 THEN chr(57345) ELSE chr(57344) END, least - 1 - 1000 - m FROM e, (SELECT unnest(range(2)) AS m)")
 def vocabulary_extension(s, d):
-    from pyspark.sql import Window
-
-    order = Window.orderBy("piece")  # the genres are a handful of words
-    words = docs(s, d).select(F.col("genre").alias("piece")).distinct()
-    base = words.withColumn("id", (F.row_number().over(order) - 1).cast("bigint")).withColumn("score", -F.col("id").cast("double"))
+    words = files.with_row_index(docs(s, d).select(F.col("genre").alias("piece")).distinct(), ["piece"])
+    base = words.withColumnRenamed(ROW, "id").withColumn("score", -F.col("id").cast("double"))
     return vocabulary.extend(base, 1000)
 
 
@@ -804,6 +802,16 @@ def kmeans_fit(s, d):
     return one.select("clusters", "points", (F.col("off") < 1e-6).alias("settled"), (F.col("cost") < F.col("whole")).alias("spread"))
 
 
+@query("SELECT 8::BIGINT AS clusters, count(*) AS points, true AS spread FROM embeddings")
+def kmeans_minibatch(s, d):
+    """The mini-batch fit with its own parameters; all points are assigned, nearer than to their common mean."""
+    rows = table("embeddings")(s, d)
+    near = cluster.assign(rows, "vec_id", "embedding", cluster.fit_minibatch(rows, "embedding", 8))
+    whole = stats.moments(rows, "embedding").filter("i = j").agg(F.sum("covariance").alias("whole"))
+    told = near.agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("points"), F.avg("distance2").alias("cost"))
+    return told.join(F.broadcast(whole)).select("clusters", "points", (F.col("cost") < F.col("whole")).alias("spread"))
+
+
 def _mixed(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of ints, with the seed of each."""
     p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))

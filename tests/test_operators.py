@@ -287,3 +287,15 @@ def test_runs_of_nulls_and_strings(spark):
     df = spark.createDataFrame([(0, ["a", None, None, "a", "a"]), (1, []), (2, None), (3, ["a"])], "k int, p array<string>")
     got = {r["k"]: r["m"] and [tuple(x) for x in r["m"]] for r in df.select("k", align.merge_repeats(F.col("p")).alias("m")).collect()}
     assert got == {0: [("a", 0, 0), (None, 1, 2), ("a", 3, 4)], 1: [], 2: None, 3: [("a", 0, 0)]}
+
+
+def test_minibatch_fit_finds_separate_clusters(spark):
+    rng = np.random.default_rng(5)
+    middles = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0], [10.0, 10.0]])
+    points = np.repeat(middles, 150, 0) + rng.normal(0, 0.3, (600, 2))
+    df = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(points)] + [(999, None)], "k int, v array<double>")
+    for pool in (10_000, 300):
+        got = np.array(sorted(r["vec"] for r in cluster.fit_minibatch(df, "v", 4, batch=100, n_init=5, pool=pool).collect()))
+        assert np.abs(got.round() - np.array(sorted(middles.tolist()))).max() == 0
+    with pytest.raises(ValueError):
+        cluster.fit_minibatch(df.limit(2), "v", 4)
