@@ -57,7 +57,11 @@ def audio_with_text(audio: DataFrame, texts: DataFrame, key: str = "id") -> Data
 
 def units_of_span(units: Column, start: Column, end: Column) -> Column:
     """The units of a time span; what lies outside the array is cut off."""
-    first, until = frame_slice(start, end)
+    return units_between(units, *frame_slice(start, end))
+
+
+def units_between(units: Column, first: Column, until: Column) -> Column:
+    """The units from ``first`` to the one before ``until``; what lies outside the array is cut off."""
     first = F.greatest(first, F.lit(0))
     return F.slice(units, first + 1, F.greatest((until - first).cast("int"), F.lit(0)))
 
@@ -70,12 +74,16 @@ def token_units(aligned: DataFrame, tokens: str = "tokenized") -> DataFrame:
 
 
 def frames_in_spans(frames: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """The same as a range join of a frame table (key, frame_idx, unit) with spans (key, first, until).
+    """The same as a range join of a frame table (key, frame_idx, unit) with spans (key, first, until), whose columns stay.
 
-    Each span is spread over its frames, so that a frame meets the spans it lies in and no others.
+    ``frames`` (key, units) has the frames of a key in one array, in order from 0. Frames get rows of their own only after the join,
+    where a span cuts out those that lie in it. Neither side is sent to the driver: the optimizer takes
+    arrays for short, so it would broadcast far more than it reckons with.
     """
-    spread = spans.filter("until > first").withColumn("frame_idx", F.explode(F.sequence(F.col("first").cast("bigint"), F.col("until").cast("bigint") - 1)))
-    return frames.join(spread.withColumn("frame_idx", F.col("frame_idx").cast(frames.schema["frame_idx"].dataType)), [key, "frame_idx"])
+    met = frames.filter(F.size("units") > 0).select(key, "units").hint("merge").join(spans, key)
+    met = met.filter((F.col("first") < F.size("units")) & (F.col("until") > F.greatest("first", F.lit(0))))
+    each = met.select(*spans.columns, F.posexplode(units_between(F.col("units"), F.col("first"), F.col("until"))).alias("_at", "unit"))
+    return each.withColumn("frame_idx", F.greatest("first", F.lit(0)) + F.col("_at")).drop("_at")
 
 
 def label_ids(letters: Column, dictionary: dict[str, int]) -> Column:

@@ -350,10 +350,11 @@ def token_unit_slices(s, d):
 )
 def frame_range_join(s, d):
     rows = aligned(s, d)
-    frames = rows.select(ROW, F.posexplode("speech_tokens").alias("frame_idx", "unit"))
+    frames = rows.select(ROW, F.col("speech_tokens").alias("units"))
     zipped = F.arrays_zip(F.col("aligned_token_start_time").alias("s"), F.col("aligned_token_end_time").alias("e"))
     first, until = units.frame_slice(F.col("z.s"), F.col("z.e"))
-    spans = rows.select(ROW, F.posexplode(zipped).alias("position", "z")).select(ROW, "position", first.alias("first"), until.alias("until"))
+    tokens = F.greatest(F.size("tokenized"), F.lit(0))
+    spans = rows.select(ROW, F.posexplode(F.slice(zipped, 1, tokens)).alias("position", "z")).select(ROW, "position", first.alias("first"), until.alias("until"))
     return joins.frames_in_spans(frames, spans, ROW).groupBy(ROW, "position").agg(F.count(F.lit(1)).alias("n"), F.sum("unit").cast("bigint").alias("total"))
 
 

@@ -299,3 +299,12 @@ def test_minibatch_fit_finds_separate_clusters(spark):
         assert np.abs(got.round() - np.array(sorted(middles.tolist()))).max() == 0
     with pytest.raises(ValueError):
         cluster.fit_minibatch(df.limit(2), "v", 4)
+
+
+def test_frames_in_spans_are_those_of_a_range_join(spark):
+    frames = spark.createDataFrame([(1, [10, 11, None, 13]), (2, []), (3, None), (None, [9])], "k int, units array<int>")
+    spans = [(1, "a", -2, 2), (1, "b", 1, 9), (1, "c", 2, 2), (1, "d", 4, 6), (1, "e", -3, 0), (1, "f", None, 2), (2, "g", 0, 1), (3, "h", 0, 1), (None, "i", 0, 1), (1, "j", 0, 2**31 - 1)]
+    got = joins.frames_in_spans(frames, spark.createDataFrame(spans, "k int, name string, first int, until int"), "k").select("name", "frame_idx", "unit", "first")
+    units_of = {0: 10, 1: 11, 2: None, 3: 13}
+    expected = {(name, i, u, a) for k, name, a, b in spans if k == 1 and a is not None for i, u in units_of.items() if a <= i < b}
+    assert {tuple(r) for r in got.collect()} == expected
